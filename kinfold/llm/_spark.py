@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import settled
 
-__all__ = ["documents", "partitions", "rank_within", "remainder", "settled"]
+__all__ = ["documents", "partitions", "rank_within", "remainder", "settled", "written"]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like settled, as a Parquet table in the same shared folder: for larger results, since columns compress."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        settled(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/kinfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

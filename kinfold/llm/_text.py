@@ -72,8 +72,8 @@ def column_bytes(column: pa.Array) -> Bytes:
     return Bytes(raw[at[0] : at[-1]], at - at[0])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice holds about ``limit`` bytes of text at most (one longer text stands alone)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice holds about ``limit`` bytes of text and ``rows`` rows at most (a longer text stands alone)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -81,7 +81,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(ends, ends[start] + limit, "right")) - 1
-            stop = min(max(stop, start + 1), batch.num_rows)
+            stop = min(max(stop, start + 1), start + rows, batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -167,3 +167,21 @@ def distinct(doc: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return doc, hashed
     keep = np.concatenate(([True], (doc[1:] != doc[:-1]) | (hashed[1:] != hashed[:-1])))
     return doc[keep], hashed[keep]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, so that leading zeros of sorted deltas vanish when compressed."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplanes(raw: np.ndarray, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw[: n * size].reshape(size, n).T).reshape(-1).view(kind)
+
+
+def squeeze(raw: bytes) -> bytes:
+    return np.int64([len(raw)]).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob[8:], int(np.frombuffer(blob, np.int64, 1)[0]), codec="zstd", asbytes=True), np.uint8)

@@ -5,9 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import parity_join
-from ._spark import documents
+from . import fingerprints, language, parity_join, suffix_tree, toxicity
+from ._spark import documents, remainder
+
+
+def op1_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 5) == 1
+    scored = suffix_tree.learn_and_score(docs, held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_nonneg_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    scored = toxicity.score(docs.select("doc_id", "text"), model, keep_text=False)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op5_script_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = language.train(docs.filter(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +42,10 @@ def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree_scoring": op1_suffix_tree_scoring,
+    "op3_nonneg_pu_toxicity": op3_nonneg_pu_toxicity,
+    "op4_one_permutation_minhash": op4_one_permutation_minhash,
+    "op5_script_viterbi_language": op5_script_viterbi_language,
     "op6_parity_sketch_join": op6_parity_sketch_join,
 }
 ORACLES: dict[str, str] = {}
