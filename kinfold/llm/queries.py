@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, parity_join, suffix_tree, toxicity
+from . import decontaminate, fingerprints, language, line_dedup, mixing, parity_join, suffix_tree, toxicity
 from ._spark import documents, remainder
 
 
@@ -18,6 +18,10 @@ def op1_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_nonneg_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -41,11 +45,23 @@ def op6_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op9_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return cut.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.col("removed_words").cast("long").alias("removed_words"), F.col("removed_runs").cast("long").alias("removed_runs"))
+
+
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("rid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_scoring": op1_suffix_tree_scoring,
+    "op2_low_discrepancy_mix": op2_low_discrepancy_mix,
     "op3_nonneg_pu_toxicity": op3_nonneg_pu_toxicity,
     "op4_one_permutation_minhash": op4_one_permutation_minhash,
     "op5_script_viterbi_language": op5_script_viterbi_language,
     "op6_parity_sketch_join": op6_parity_sketch_join,
+    "op9_winnowing_line_dedup": op9_winnowing_line_dedup,
+    "op10_template_decontamination": op10_template_decontamination,
 }
 ORACLES: dict[str, str] = {}
