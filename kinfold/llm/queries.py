@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language, line_dedup, mixing, parity_join, revisits, suffix_tree, toxicity
+from . import decontaminate, fingerprints, html_extract, language, line_dedup, mixing, parity_join, revisits, suffix_tree, toxicity
 from ._spark import documents, remainder
 
 
@@ -50,6 +50,10 @@ def op7_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisits.resolve(records).select("record_id", "canonical_url", "refers_to", "status", F.col("headers")["content-type"].alias("content_type"), F.col("headers")["date"].alias("date"))
 
 
+def op8_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_winnowing_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup_lines(documents(spark, sf_dir))
     return cut.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.col("removed_words").cast("long").alias("removed_words"), F.col("removed_runs").cast("long").alias("removed_runs"))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_script_viterbi_language": op5_script_viterbi_language,
     "op6_parity_sketch_join": op6_parity_sketch_join,
     "op7_revisit_resolution": op7_revisit_resolution,
+    "op8_template_extraction": op8_template_extraction,
     "op9_winnowing_line_dedup": op9_winnowing_line_dedup,
     "op10_template_decontamination": op10_template_decontamination,
 }
