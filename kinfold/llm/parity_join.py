@@ -6,12 +6,14 @@ into P > d parts by hash, and each part keeps the XOR of its elements: a sketch
 which two sketches differ never exceeds their Hamming distance, which never exceeds the symmetric difference, so at least
 P - d words of a linked pair agree (pigeonhole), and at least U - d of them are words of non-empty parts, U being the
 number of a set's non-empty parts. Joining on (band, part, word) therefore finds every link; sets whose U <= d (tiny ones
-whose few elements fell together) also meet under one extra key of their band. Candidates are verified on whole sets.
+whose few elements fell together) also meet under one extra key of their band. Pairs that share fewer than U - d words
+are no links; the rest is verified on whole sets.
 
 Hot words. A word that more than ``hot`` sets share gives a star of candidates around its least set, not all pairs. A set
-with fewer hot words than U - d is sure to meet each partner under a word that isn't hot. For the others (in practice
-members of large near-copy groups) the stars are verified and merged first, then only pairs under one hot word that still
-lie in different components are verified: nothing is capped, no link between components is lost.
+with fewer hot words than U - d is sure to meet each partner under a word that isn't hot. The others (in practice members
+of large near-copy groups) are first merged by what the stars proved. Where sets under one hot word still lie in different
+components, the sets of such a cluster outside its largest component are compared with all sets of the cluster, in tiles of
+bounded size that return links only: nothing is capped, no link between components is lost, and no pairs are written.
 
 Equal sets collapse before any of this into one node, so exact copies cost nothing. Nodes are 64-bit set hashes.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ._spark import partitions, settled
-from ._text import U64, column_bytes, distinct, mix, shingles, slices, tokens
+from ._text import U64, column_bytes, distinct, mix, planes, shingles, slices, squeeze, tokens, unplanes, unsqueeze
 
 #: Pair-size bands are [GROWTH**b, GROWTH**(b + 1)).
 GROWTH = 1.5
@@ -97,31 +99,20 @@ def _words(n, node, doc, hashed):
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, so that leading zeros of sorted deltas vanish when compressed."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def _unplanes(raw: np.ndarray, n: int, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw[: n * size].reshape(size, n).T).reshape(-1).view(kind)
-
-
 def _pack(key, node, band, slack) -> bytes:
-    """key is sorted; nodes, bands and slacks go to a table of the distinct ones."""
+    """key is sorted and kept to 56 bits; nodes, bands and slacks go to a table of the distinct ones."""
     member = np.stack([node.view(np.int64), band * (1 << 32) + np.maximum(slack, 0)], 1)
     table, at = np.unique(member, axis=0, return_inverse=True)
-    raw = np.int64([len(key), len(table)]).tobytes() + _planes(np.diff(key, prepend=U64(0))) + _planes(at.reshape(-1).astype(np.uint32)) + _planes(np.ascontiguousarray(table).reshape(-1))
-    return np.int64([len(raw)]).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    raw = np.int64([len(key), len(table)]).tobytes() + planes(np.diff(key >> U64(8), prepend=U64(0))) + planes(at.reshape(-1).astype(np.uint32)) + planes(np.ascontiguousarray(table).reshape(-1))
+    return squeeze(raw)
 
 
 def _unpack(blob: bytes):
-    size = int(np.frombuffer(blob, np.int64, 1)[0])
-    raw = np.frombuffer(pa.decompress(blob[8:], size, codec="zstd", asbytes=True), np.uint8)
+    raw = unsqueeze(blob)
     n, m = (int(x) for x in raw[:16].view(np.int64))
-    key = np.cumsum(_unplanes(raw[16:], n, U64), dtype=U64)
-    at = _unplanes(raw[16 + 8 * n :], n, np.uint32)
-    table = _unplanes(raw[16 + 12 * n :], 2 * m, np.int64).reshape(m, 2)
+    key = np.cumsum(unplanes(raw[16:], n, U64), dtype=U64)
+    at = unplanes(raw[16 + 8 * n :], n, np.uint32)
+    table = unplanes(raw[16 + 12 * n :], 2 * m, np.int64).reshape(m, 2)
     return key, table[at, 0], table[at, 1]
 
 
@@ -129,7 +120,7 @@ def _packed(docs: DataFrame, text: str, width: int, buckets: int) -> DataFrame:
     """Parity words by range of the key, packed to a few bytes each: what the pigeonhole join shuffles."""
 
     def run(batches):
-        for b in slices(batches, text, 8_000_000):
+        for b in slices(batches, text, 4_000_000):
             n, node, doc, hashed, _ = sets(b, text, width)
             if (w := _words(n, node, doc, hashed)) is None:
                 continue
@@ -145,7 +136,7 @@ def _packed(docs: DataFrame, text: str, width: int, buckets: int) -> DataFrame:
 
 
 def _meet(hot: int):
-    """Of a bucket: kind 0: candidates (a, b); kind 1: (word, node, band and slack) of the words that over ``hot`` nodes share."""
+    """Of a bucket: kind 0: candidates (a, b) and how many words they share, hot ones left out; kind 1: (word, node) of the hot words. info: band and slack, of a pair the greater."""
 
     def run(table: pa.Table) -> pa.Table:
         got = [_unpack(x.as_py()) for x in table.column("words")]
@@ -161,18 +152,24 @@ def _meet(hot: int):
         size = np.diff(np.append(start, len(key)))
         run_of = np.repeat(np.arange(len(start)), size)
         many = size[run_of] > hot
-        pairs = [np.stack([node[start[run_of[many]]], node[many]], 1)]
+        star = np.flatnonzero(many)
+        star = star[star != start[run_of[star]]]
+        left, right, n = [start[run_of[star]]], [star], [np.zeros(len(star), np.int64)]
         few = np.flatnonzero(~many)
         for gap in range(1, hot):
             i = few[few + gap < len(key)]
             i = i[key[i] == key[i + gap]]
             if not len(i):
                 break
-            pairs.append(np.stack([node[i], node[i + gap]], 1))
-        pair = np.concatenate(pairs)
-        pair = np.unique(np.sort(pair[pair[:, 0] != pair[:, 1]], 1), axis=0)
-        kind = np.repeat([0, 1], [len(pair), int(many.sum())])
-        return pa.table({"kind": pa.array(kind, pa.int32()), "a": np.concatenate([pair[:, 0], key[many].view(np.int64)]), "b": np.concatenate([pair[:, 1], node[many]]), "info": np.concatenate([np.zeros(len(pair), np.int64), info[many]])})
+            left.append(i)
+            right.append(i + gap)
+            n.append(np.ones(len(i), np.int64))
+        left, right, n = np.concatenate(left), np.concatenate(right), np.concatenate(n)
+        row = np.stack([node[left], node[right], np.maximum(info[left], info[right])], 1)
+        row, of = np.unique(row, axis=0, return_inverse=True)
+        shared = np.bincount(of.reshape(-1), weights=n, minlength=len(row)).astype(np.int64)
+        kind = np.repeat([0, 1], [len(row), int(many.sum())])
+        return pa.table({"kind": pa.array(kind, pa.int32()), "a": np.concatenate([row[:, 0], key[many].view(np.int64)]), "b": np.concatenate([row[:, 1], node[many]]), "info": np.concatenate([row[:, 2], info[many]]), "n": np.concatenate([shared, np.ones(int(many.sum()), np.int64)])})
 
     return run
 
@@ -220,47 +217,116 @@ def _membership(nodes: DataFrame, count: int):
     return holds
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
-    nodes = pairs.select("a").union(pairs.select("b")).distinct()
-    count = nodes.count()
-    if not count:
-        return pairs.select("a", "b")
+def _elements(docs: DataFrame, nodes: DataFrame, count: int, text: str, width: int) -> DataFrame:
+    """(node, elements) of the nodes asked for, and of some more."""
     holds = _membership(nodes, count)
 
     def run(batches):
         seen: set[int] = set()
         for b in slices(batches, text):
             n, node, doc, hashed, first = sets(b, text, width)
+            at = []
             for i in np.flatnonzero((n > 0) & holds(node)):
-                if (x := int(node[i])) not in seen:
-                    seen.add(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(node[i : i + 1].view(np.int64)), pa.ListArray.from_arrays(pa.array([0, n[i]], pa.int32()), pa.array(hashed[first[i] : first[i] + n[i]].view(np.int64)))], ["node", "elements"])
+                if int(node[i]) not in seen:
+                    seen.add(int(node[i]))
+                    at.append(i)
+            if at:
+                ends = np.concatenate(([0], np.cumsum(n[at]))).astype(np.int32)
+                every = np.concatenate([hashed[first[i] : first[i] + n[i]] for i in at]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[at].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(every))], ["node", "elements"])
+
+    # Exchanged once by node; both sides of a join on it share the exchange.
+    return docs.select(text).mapInArrow(run, "node long, elements array<long>").dropDuplicates(["node"])
 
-    found = settled(docs.select(text).mapInArrow(run, "node long, elements array<long>").join(nodes.withColumnRenamed("a", "node"), "node", "left_semi").dropDuplicates(["node"]))
+
+def _verified(docs: DataFrame, pairs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union."""
+    nodes = pairs.select("a").union(pairs.select("b")).distinct()
+    count = nodes.count()
+    if not count:
+        return pairs.select("a", "b")
+    found = _elements(docs, nodes, count, text, width)
     both = pairs.select("a", "b").join(found.toDF("a", "in_a"), "a").join(found.toDF("b", "in_b"), "b")
     common = F.size(F.array_intersect("in_a", "in_b"))
     return both.select("a", "b", common.alias("common"), (F.size("in_a") + F.size("in_b")).alias("sizes")).filter(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
+#: Elements of the sets on either side of a tile; bounds its memory.
+TILE = (1_000_000, 2_000_000)
+
+
+def _tile(percent: int):
+    """Links between the sets of role 0 and those of role 1 of other components, one for each set and component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        role, node, component = (np.asarray(table.column(x)) for x in ("role", "node", "component"))
+        column = table.column("elements").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        ends, every = np.asarray(column.offsets), np.asarray(column.values)
+        size = np.diff(ends)
+        right, left = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            held = np.concatenate([every[ends[i] : ends[i + 1]] for i in right])
+            known, code = np.unique(held, return_inverse=True)
+            start = np.concatenate(([0], np.cumsum(size[right])[:-1]))
+            for i in left:
+                own = every[ends[i] : ends[i + 1]]
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                mark = np.zeros(len(known), np.int32)
+                mark[at[known[at] == own]] = 1
+                common = np.add.reduceat(mark[code], start)
+                hit = np.flatnonzero((100 * common >= percent * (size[i] + size[right] - common)) & (component[right] != component[i]))
+                _, one = np.unique(component[right[hit]], return_index=True)
+                out += [(int(node[i]), int(node[right[k]])) for k in hit[one]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
+
+
+def _across(docs: DataFrame, members: DataFrame, text: str, width: int, percent: int) -> DataFrame | None:
+    """Links between components whose sets (word, node, band, component) still share a hot word."""
+    least = members.groupBy("word").agg(F.min("node").alias("m"))
+    clusters = connected_components(members.join(least, "word").select("node", "m").distinct(), "node", "m").withColumnRenamed("component", "cluster")
+    bound = F.ceil(F.pow(F.lit(GROWTH), F.col("band") + 1) / 1.8)
+    nodes = members.groupBy("node").agg(F.min("component").alias("component"), F.max(bound).alias("size")).join(clusters, "node")
+    nodes = settled(nodes)
+    if not (count := nodes.count()):
+        return None
+    parts = nodes.groupBy("cluster", "component").agg(F.sum("size").alias("size"))
+    shape = parts.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("most"))
+    shape = shape.select("cluster", "main", F.ceil((F.col("all") - F.col("most")) / TILE[0]).cast("int").alias("n_left"), F.ceil(F.col("all") / TILE[1]).cast("int").alias("n_right"))
+    placed = nodes.join(shape, "cluster")
+    cut = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.filter("component != main").select("cluster", "node", "component", F.lit(0).alias("role"), cut("n_left").alias("i"), every("n_right").alias("j"))
+    right = placed.filter("n_left > 0").select("cluster", "node", "component", F.lit(1).alias("role"), cut("n_right").alias("j"), every("n_left").alias("i"))
+    rows = left.unionByName(right).join(_elements(docs, nodes.select("node"), count, text, width), "node")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+
+
 def links(docs: DataFrame, text: str = "text", width: int = 5, hot: int = 8) -> DataFrame:
     """Links (a, b) between nodes whose components are those of all links with Jaccard >= 0.8."""
     percent = 80
     buckets = 4 * partitions(docs.sparkSession)
-    met = settled(_packed(docs, text, width, buckets).groupBy("bucket").applyInArrow(_meet(hot), "kind int, a long, b long, info long").distinct())
-    pairs = met.filter("kind = 0").select("a", "b")
+    met = settled(_packed(docs, text, width, buckets).groupBy("bucket").applyInArrow(_meet(hot), "kind int, a long, b long, info long, n long").groupBy("kind", "a", "b", "info").agg(F.sum("n").alias("n")))
+    band, slack = F.shiftright("info", 32), F.col("info").bitwiseAND(F.lit((1 << 32) - 1))
+    members = met.filter("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("node"), band.alias("band"), slack.alias("slack"))
+    heat = settled(members.groupBy("node", "band").agg(F.count("*").alias("n_hot"), F.min("slack").alias("slack")))
+    # A linked pair shares U - d words at least, of which as many may be hot as either has.
+    pairs = met.filter("kind = 0").select("a", "b", "n", band.alias("band"), slack.alias("slack"))
+    for side in ("a", "b"):
+        pairs = pairs.join(heat.select(F.col("node").alias(side), "band", F.col("n_hot").alias(f"hot_{side}")), [side, "band"], "left")
+    enough = F.col("n") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))) >= F.col("slack")
+    pairs = settled(pairs.filter(enough).select("a", "b").distinct())
     found = settled(_verified(docs, pairs, text, width, percent))
-    members = met.filter("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("node"), F.shiftright("info", 32).alias("band"), F.col("info").bitwiseAND(F.lit((1 << 32) - 1)).alias("slack"))
-    bound = members.groupBy("node", "band").agg(F.count("*").alias("n_hot"), F.min("slack").alias("slack")).filter("n_hot >= slack").select("node", "band")
-    members = members.join(bound, ["node", "band"], "left_semi").select("word", "node")
+    bound = heat.filter("n_hot >= slack").select("node", "band")
+    members = members.join(bound, ["node", "band"], "left_semi").select("word", "node", "band")
     of = connected_components(found, "a", "b")
-    members = members.join(of, "node", "left").select("word", "node", F.coalesce("component", "node").alias("component"))
+    members = members.join(of, "node", "left").select("word", "node", "band", F.coalesce("component", "node").alias("component"))
     split = members.groupBy("word").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("word")
-    members = settled(members.join(split, "word", "left_semi"))
-    left, right = members.toDF("word", "a", "ca"), members.toDF("word", "b", "cb")
-    open_pairs = left.join(right, "word").filter("ca != cb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    open_pairs = settled(open_pairs)
-    return found.union(_verified(docs, open_pairs, text, width, percent))
+    more = _across(docs, settled(members.join(split, "word", "left_semi")), text, width, percent)
+    return found if more is None else found.union(more)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
