@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,50 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
         seen = mark
         now = settled(_small_star(_large_star(now)))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def cluster_collapse(same_as: DataFrame, entities: DataFrame, exclude_kept: bool = False) -> DataFrame:
+    """(id, component, canonical) of the entities in clusters of reviewed links without conflict.
+
+    Canonical is the member with an LEI, then the oldest (no date counts as latest), then of least id. Only linked
+    entities enter; singletons are never looked at.
+    """
+    kept = same_as.filter("reviewed and not coalesce(conflict, false)")
+    if exclude_kept:
+        kept = kept.filter("not coalesce(kept, false)")
+    of = connected_components(kept, "src", "dst").withColumnRenamed("node", "id")
+    lei = F.col("lei").isNotNull() if "lei" in entities.columns else F.lit(False)
+    age = F.coalesce(F.when(F.col("created_at") != "", F.col("created_at")), F.lit("￿")) if "created_at" in entities.columns else F.lit("￿")
+    members = of.join(entities.select("id", (~lei).alias("no_lei"), age.alias("age")), "id")
+    best = members.groupBy("component").agg(F.min(F.struct("no_lei", "age", "id")).alias("m"), F.count("*").alias("n")).filter("n > 1")
+    return members.join(best, "component").select("id", "component", F.col("m.id").alias("canonical"))
+
+
+def node_similarity(neighbours: DataFrame, threshold: float, top_k: int) -> DataFrame:
+    """(source_id, target_id, similarity): for each node the top_k others of Jaccard >= threshold over neighbours; ties to the lower id.
+
+    Neighbours are ranked from rare to common; sets with Jaccard >= t share one of the first n - ceil(t * n) + 1, so only
+    those are joined and the common neighbours never make pairs. Candidates are verified on the whole sets.
+    """
+    edges = neighbours.select("node", "neighbour").distinct()
+    degree = edges.groupBy("neighbour").agg(F.count("*").alias("df"))
+    ranked = edges.join(degree, "neighbour").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "neighbour"))).alias("s"))
+    n = F.size("s")
+    sets = ranked.select("node", F.transform("s", lambda x: x["neighbour"]).alias("set"), n.alias("n"), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int").alias("head"))
+    heads = sets.select("node", "n", F.explode(F.slice("set", F.lit(1), F.col("head"))).alias("neighbour"))
+    pairs = heads.toDF("a", "na", "neighbour").join(heads.toDF("b", "nb", "neighbour"), "neighbour").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    whole = sets.select("node", "set")
+    common = F.size(F.array_intersect("sa", "sb"))
+    scored = pairs.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    both = scored.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), "similarity").union(scored.select("b", "a", "similarity"))
+    best = Window.partitionBy("source_id").orderBy(F.desc("similarity"), "target_id")
+    return both.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top_k).drop("place")
+
+
+def contract(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """edges (src, rel, dst) with merged nodes replaced, loops dropped and repeats merged. mapping: (merged, canonical)."""
+    m = mapping.select("merged", "canonical").distinct()
+    out = edges
+    for side in ("src", "dst"):
+        out = out.join(m.toDF(side, "to"), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    return out.filter("src <> dst").select("src", "rel", "dst").distinct()
