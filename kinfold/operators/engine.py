@@ -91,8 +91,9 @@ def rule_fires(decisions: DataFrame) -> DataFrame:
 def greedy_merges(decisions: DataFrame, rounds: int = 20) -> DataFrame:
     """(canonical, merged): the merges that processing sources in order of id would make in one pass.
 
-    A source acts only if nothing merged it away before. In each round the sources that no earlier live source can merge
-    act; what they merge is out. Rounds needed are the length of the longest chain of dependent sources.
+    A source acts only if nothing merged it away before. In each round a pair acts if no earlier open source can still merge
+    either end and its target, if an earlier source, has acted itself; the least source always can. Rounds needed are the
+    length of the longest chain of dependent pairs.
     """
     from .graph import settled
 
@@ -101,13 +102,12 @@ def greedy_merges(decisions: DataFrame, rounds: int = 20) -> DataFrame:
     for _ in range(rounds):
         if open_.isEmpty():
             break
-        threatened = open_.filter("source_id < target_id").select(F.col("target_id").alias("id")).distinct()
-        acting = open_.join(threatened, F.col("source_id") == F.col("id"), "left_anti")
-        # Of several that act on one target the first by id gets it.
-        taken = settled(acting.groupBy("target_id").agg(F.min("source_id").alias("source_id")).select("source_id", "target_id"))
-        done = settled(done.union(taken))
-        gone = taken.select(F.col("target_id").alias("id"))
-        acted = acting.select(F.col("source_id").alias("id")).distinct()
-        rest = open_.join(acted, F.col("source_id") == F.col("id"), "left_anti").join(gone, F.col("source_id") == F.col("id"), "left_anti").join(gone, F.col("target_id") == F.col("id"), "left_anti")
-        open_ = settled(rest)
+        first = open_.groupBy(F.col("target_id").alias("t")).agg(F.min("source_id").alias("by"))
+        threatened = first.filter("by < t").select(F.col("t").alias("id"))
+        sources = open_.select(F.col("source_id").alias("id")).distinct()
+        acting = open_.join(threatened, F.col("source_id") == F.col("id"), "left_anti").join(first, (F.col("target_id") == F.col("t")) & (F.col("source_id") == F.col("by")), "left_semi")
+        acting = settled(acting.join(sources, (F.col("target_id") == F.col("id")) & (F.col("target_id") < F.col("source_id")), "left_anti"))
+        gone = acting.select(F.col("target_id").alias("id"))
+        done = settled(done.union(acting))
+        open_ = settled(open_.join(gone, F.col("source_id") == F.col("id"), "left_anti").join(gone, F.col("target_id") == F.col("id"), "left_anti"))
     return done.select(F.col("source_id").alias("canonical"), F.col("target_id").alias("merged"))
