@@ -50,6 +50,11 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def _order(id_: Column) -> Column:
+    """The shuffle: 60 bits of a hash that SQL engines share."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit("|17"))), 1, 15), 16, 10).cast("long")
+
+
 def placed(docs: DataFrame) -> DataFrame:
     """(id, size, source, start): where each document lies in its source's shuffled stream of words.
 
@@ -57,7 +62,7 @@ def placed(docs: DataFrame) -> DataFrame:
     is summed by many tasks.
     """
     cells = 64 * partitions(docs.sparkSession)
-    rows = docs.withColumn("cell", F.floor(F.shiftrightunsigned("order", 32) * cells / float(1 << 32)).cast("long"))
+    rows = docs.withColumn("cell", F.floor(F.shiftright("order", 28) * cells / float(1 << 32)).cast("long"))
     sums = rows.groupBy("source", "cell").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     shift = sums.select(F.col("source").alias("s"), F.col("cell").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
@@ -104,7 +109,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     Null and empty texts have size 0 and are never taken; a null source is a source, the last. Rows are told apart by place,
     so repeated rows each keep their own; ties in the shuffle are broken by id and size.
     """
-    rows = docs.select(F.col(id_col).alias("id"), size_of(F.col(text)).alias("size"), F.col(source).alias("source"), F.xxhash64(F.lit(17), id_col, F.length(text)).alias("order"))
+    rows = docs.select(F.col(id_col).alias("id"), size_of(F.col(text)).alias("size"), F.col(source).alias("source"), _order(F.col(id_col)).alias("order"))
     rows = settled(rows)  # a few numbers for each row: texts are read once
     goals = settled(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     where = settled(placed(rows))
@@ -119,3 +124,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     full = where.join(taken, _same("source", "s") & (F.col("start") == F.col("st")) & _same("id", "i") & (F.col("size") == F.col("z")), "left").drop("s", "st", "i", "z")
     out = full.join(goals.withColumnRenamed("source", "s"), _same("source", "s"))
     return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+#: The same in SQL: a source's blocks, taken epoch after epoch up to its target, cover its shuffled stream cyclically, so a
+#: document is taken once for each whole epoch and for what the last, partial one reaches of it.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|17'), 1, 15))::BIGINT AS ord
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w FROM d GROUP BY source
+), c AS (SELECT *, 3 * source_size AS cap, 3 * source_size / w AS ratio FROM s),
+l AS (
+  SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM c
+), t AS (
+  SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1) * w, cap::DOUBLE)) AS target FROM l
+), p AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d
+)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE (floor(target)::BIGINT // source_size) * size + greatest(0, least(start + size, floor(target)::BIGINT % source_size) - start) END::BIGINT AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+"""

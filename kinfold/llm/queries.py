@@ -76,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_decontamination": op10_template_decontamination,
 }
 ORACLES: dict[str, str] = {
+    "op2_low_discrepancy_mix": mixing.ORACLE,
     "op7_revisit_resolution": revisits.ORACLE,
 }

@@ -1,5 +1,7 @@
+import duckdb
+
 from kinfold.llm import mixing
-from kinfold.llm.queries import QUERIES
+from kinfold.llm.queries import ORACLES, QUERIES
 
 
 def water(sizes, weights):
@@ -57,3 +59,10 @@ def test_driver_table_and_empty_table(spark, sf_dir):
     assert len(rows) == 200 and sum(r["taken"] for r in rows) > 0.99 * sum(r["size"] for r in rows)
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty).count() == 0
+
+
+def test_oracle(spark, sf_dir):
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = sorted(duckdb.sql(ORACLES["op2_low_discrepancy_mix"]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES["op2_low_discrepancy_mix"](spark, sf_dir).select("doc_id", "size", "source_size", "target", "taken").collect())
+    assert got == want
