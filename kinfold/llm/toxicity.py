@@ -24,7 +24,7 @@ MAX_POSITIVE, MAX_UNLABELLED = 4000, 12_000
 #: At most so many features get a weight: those met in most positives, then those that tell most.
 MAX_CANDIDATES, MAX_FEATURES = 60_000, 4000
 #: Least estimated share of toxic texts among those with a feature.
-EVIDENCE = 0.5
+EVIDENCE = 0.7
 #: Bytes of the word prefixes that count as features beside the word itself; they catch inflected forms.
 PREFIXES = (4, 5, 6)
 
@@ -98,7 +98,7 @@ def nnpu(row: np.ndarray, column: np.ndarray, positive: np.ndarray, n_columns: i
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """The model learnt from the rows of ``docs`` for which ``learn`` holds; None without a confirmed toxic one.
 
-    Only bounded things come to the driver: ids of the samples, the candidates' counts, and the samples' feature places.
+    Only bounded things come to the driver: the candidate features and the weights. The sample is fitted in one task.
     """
     marks = labels.groupBy(id_col).agg(F.max(label).alias("_y"), F.min(label).alias("_low"))
     rows = docs.filter(learn).select(id_col, text)
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     n_positive = sample.filter("_p = 1").count()
     least = max(3, int(0.002 * n_positive))
     counted = sample.filter("_p = 1").select(text).mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    keys = np.sort(np.array([r[0] for r in counted.orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()], np.int64).view(U64))
+    keys = np.sort(np.asarray(counted.orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).select("feature").toArrow().column(0)).astype(np.int64).view(U64))
     if not len(keys):
         return None
     candidates = Model(keys, np.zeros(len(keys)), 0.0)
@@ -131,24 +131,33 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
             n = np.bincount(row, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("_p"), pa.array([x.astype(np.uint16).tobytes() for x in np.split(at, np.cumsum(n)[:-1])], pa.binary())], ["p", "at"])
 
-    got = sample.mapInArrow(places, "p int, at binary").orderBy("p", "at").collect()
-    lists = [np.frombuffer(r["at"], np.uint16).astype(np.int64) for r in got]
-    positive = np.array([r["p"] == 1 for r in got])
-    row, column = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int64)])
-    in_p = np.bincount(column[positive[row]], minlength=len(keys))
-    in_u = np.bincount(column[~positive[row]], minlength=len(keys))
-    # By Bayes, prior * p / u is the share of toxic texts among those with the feature; keep what points to toxic ones.
-    p, u = (in_p + 0.5) / (positive.sum() + 1), (in_u + 1.0) / ((~positive).sum() + 1)
-    gain = np.where(prior * p / u >= EVIDENCE, in_p * np.log(p / u), -1.0)
-    kept = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
-    kept = np.sort(kept[gain[kept] > 0])
-    if not len(kept):
+    def fit(table: pa.Table) -> pa.Table:
+        """The whole of the bounded sample in one task: features are chosen, then weighted. The bias has no feature."""
+        marks = sorted(zip(table.column("p").to_pylist(), table.column("at").to_pylist(), strict=True))
+        positive = np.array([p == 1 for p, _ in marks])
+        size = np.array([len(at) // 2 for _, at in marks])
+        column = np.frombuffer(b"".join(at for _, at in marks), np.uint16)
+        row = np.repeat(np.arange(len(marks), dtype=np.int32), size)
+        in_p = np.bincount(column[positive[row]], minlength=len(keys))
+        in_u = np.bincount(column, minlength=len(keys)) - in_p
+        # By Bayes, prior * p / u is the share of toxic texts among those with the feature; keep what points to toxic ones.
+        p, u = (in_p + 0.5) / (positive.sum() + 1), (in_u + 1.0) / ((~positive).sum() + 1)
+        gain = np.where(prior * p / u >= EVIDENCE, in_p * np.log(p / u), -1.0)
+        kept = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
+        kept = np.sort(kept[gain[kept] > 0])
+        place = np.full(len(keys), -1)
+        place[kept] = np.arange(len(kept))
+        ok = place[column] >= 0
+        w, b = nnpu(row[ok], place[column[ok]], positive, len(kept), prior)
+        return pa.table({"feature": pa.array([*keys[kept].view(np.int64).tolist(), None], pa.int64()), "weight": pa.array([*w.tolist(), b], pa.float64())})
+
+    grouped = sample.mapInArrow(places, "p int, at binary").withColumn("all", F.lit(0)).groupBy("all")
+    fitted = grouped.applyInArrow(fit, "feature long, weight double").collect()  # MAX_FEATURES + 1 rows at most
+    found = sorted((np.int64(r["feature"]).view(U64), r["weight"]) for r in fitted if r["feature"] is not None)
+    if not found:
         return None
-    place = np.full(len(keys), -1)
-    place[kept] = np.arange(len(kept))
-    ok = place[column] >= 0
-    w, b = nnpu(row[ok], place[column[ok]], positive, len(kept), prior)
-    return Model(keys[kept], w, b)
+    bias = next(r["weight"] for r in fitted if r["feature"] is None)
+    return Model(np.array([f for f, _ in found], U64), np.array([w for _, w in found]), float(bias))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", name: str = "score", keep_text: bool = True) -> DataFrame:
