@@ -3,7 +3,7 @@
 A text is cut into pieces: lines, and within a line sentences, each with the blanks behind it, so that the pieces put
 together are the text again. Hashes of two pieces in a row are winnowed: of each window of two, the least is a fingerprint,
 and a piece of LONG words or more is one by itself. Fingerprints are joined by position with their first occurrence, in
-order of (doc_id, position). Inside a repeated run fingerprints lie at most two pieces apart, so those that occurred before
+order of (doc_id, position); a fingerprint common enough to swamp a task is dealt out by salt. Inside a repeated run fingerprints lie at most two pieces apart, so those that occurred before
 chain into runs without gaps; at either end a run is extended by the piece beyond where that piece, too, equals the one
 beyond the first occurrence (one piece is all that can be missing). Runs of MIN_WORDS words or more are deleted. Any
 repeat of three whole pieces is sure to be found.
@@ -42,27 +42,43 @@ def fingerprints(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("rid", _row_id("id", "text"))
     df = _held(df, "pieces", F.split("text", CUT)).drop("text")
     df = _held(df, "both", F.struct(F.transform("pieces", _piece_hash).alias("h"), F.transform("pieces", _words).alias("w"))).select("id", "rid", F.col("both.h").alias("h"), F.col("both.w").alias("w"))
-    none, n = F.array(F.lit(None).cast("long")), F.size("h")
-    after = F.concat(F.slice("h", F.lit(2), n), none)
-    df = _held(df, "g", F.zip_with("h", after, lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b))))
-    shift = F.arrays_zip(
-        F.sequence(F.lit(0), n - 1).alias("at"), F.col("g").alias("g"), F.col("h").alias("h"), F.col("w").alias("w"),
-        F.concat(none, F.slice("g", F.lit(1), n - 1)).alias("g_before"), F.concat(F.slice("g", F.lit(2), n), none).alias("g_after"),
-        F.concat(none, F.slice("h", F.lit(1), n - 1)).alias("h_before"), F.concat(F.slice("h", F.lit(2), n), none).alias("h_1"), F.concat(F.slice("h", F.lit(3), n), none, none).alias("h_2"),
-        F.concat(F.slice("w", F.lit(2), n), F.array(F.lit(0))).alias("w_1"),
-    )
-    least = lambda x: x.g.isNotNull() & (x.w + x.w_1 > 0) & ((x.g <= x.g_after) | (x.g < x.g_before) | (x.g_after.isNull() & x.g_before.isNull()))
+    at = F.sequence(F.lit(0), F.size("h") - 1)
+    get = lambda c, i: F.get(F.col(c), i)
+    df = _held(df, "g", F.transform(at, lambda i: F.when((get("w", i) + get("w", i + 1)) > 0, F.xxhash64(get("h", i), get("h", i + 1)))))
+    # The last piece has no successor; a pair without words is no fingerprint.
+    least = lambda i: (get("g", i) <= get("g", i + 1)) | (get("g", i) < get("g", i - 1)) | (get("g", i).isNotNull() & get("g", i + 1).isNull() & get("g", i - 1).isNull())
     low = lambda c: F.coalesce(c, F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)).cast("long")
-    pair = F.transform(F.filter(shift, lambda x: F.coalesce(least(x), F.lit(False))), lambda x: F.struct(x["at"].alias("at"), x.g.alias("g"), F.lit(2).alias("span"), low(x.h_before).alias("left"), low(x.h_2).alias("right")))
-    alone = F.transform(F.filter(shift, lambda x: x.w >= LONG), lambda x: F.struct(x["at"].alias("at"), x.h.alias("g"), F.lit(1).alias("span"), low(x.h_before).alias("left"), low(x.h_1).alias("right")))
+    mark = lambda i, g, span: F.struct(i.alias("at"), g.alias("g"), F.lit(span).alias("span"), low(get("h", i - 1)).alias("left"), low(get("h", i + span)).alias("right"))
+    pair = F.transform(F.filter(at, lambda i: F.coalesce(least(i), F.lit(False))), lambda i: mark(i, get("g", i), 2))
+    alone = F.transform(F.filter(at, lambda i: get("w", i) >= LONG), lambda i: mark(i, get("h", i), 1))
     return df.select("id", "rid", F.inline(F.concat(pair, alone)))
 
 
+#: Fingerprints that make up more than this share of a sample of one document in SAMPLE are dealt out over SPREAD tasks.
+HOT_SHARE, SAMPLE, SPREAD = 0.005, 128, 32
+
+
+def _hot(docs: DataFrame, id_col: str, text: str) -> list[int]:
+    """Fingerprints too common for one task: 1 / HOT_SHARE at most. Only their routing depends on this, never a result."""
+    some = fingerprints(docs.filter(F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(SAMPLE)) == 0), id_col, text).groupBy("g").agg(F.count("*").alias("n"))
+    top = some.orderBy(F.desc("n"), "g").limit(int(1 / HOT_SHARE)).collect()
+    total = some.agg(F.sum("n")).first()[0] or 0 if top and top[0]["n"] > 1 else 0
+    return [r["g"] for r in top if r["n"] > max(10, HOT_SHARE * total)]
+
+
 def repeated_runs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(rid, first, last) of each run of pieces of which every fingerprint occurred before."""
-    marks = fingerprints(docs, id_col, text)
-    first = marks.groupBy("g").agg(F.min(F.struct("id", "rid", "at", "left", "right")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("g", "f")
-    later = marks.join(first, "g").filter((F.col("rid") != F.col("f.rid")) | (F.col("at") != F.col("f.at")))
+    hot = _hot(docs, id_col, text)
+    keys = ["g", "salt"] if hot else ["g"]
+    salt = F.when(F.col("g").isin(hot), F.pmod("rid", F.lit(SPREAD)) + 1).otherwise(0).cast("int")
+    # The one exchange of the fingerprints: both sides of the join use the same columns of it and keep its partitions.
+    marks = fingerprints(docs, id_col, text).filter("g is not null").withColumns({"salt": salt} if hot else {}).repartition(*keys)
+    first = marks.groupBy(*keys).agg(F.min(F.struct("id", "rid", "at", "left", "right", "span")).alias("f"), F.count("*").alias("n"))
+    met = marks.join(first.filter("n > 1 or salt > 0" if hot else "n > 1").select(*keys, "f"), keys)
+    if hot:
+        over = first.filter(F.when(F.col("salt") > 0, F.col("n")) > 0).groupBy("g").agg(F.min("f").alias("f_all"))
+        met = met.join(F.broadcast(over), "g", "left").withColumn("f", F.coalesce("f_all", "f"))  # as few rows as hot
+    later = met.filter(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("rid") == F.col("f.rid")) & (F.col("at") == F.col("f.at"))))
     # 0 stands for no piece beyond.
     more = lambda side: (F.col(side) != 0) & (F.col(side) == F.col(f"f.{side}"))
     spans = later.select("rid", (F.col("at") - more("left").cast("int")).alias("first"), (F.col("at") + F.col("span") - 1 + more("right").cast("int")).alias("last"))
