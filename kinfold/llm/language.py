@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._text import slices
+
 #: Hash places of the n-grams of one language; bounds the model to this many counts for each language.
 PLACES = 1 << 16
 SWITCH = 6.0
@@ -118,38 +120,81 @@ class Model:
         return out, np.where(total > 0, top / np.maximum(total, 1), 0.0)
 
 
-def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, switch: float = SWITCH) -> np.ndarray:
-    """The labelling of each text's words of the greatest sum of scores less ``switch`` for each change; all texts step at once."""
+#: Words that one pass of the Viterbi recursion covers. With more languages than MANY, texts are not cut.
+WINDOW, MANY = 256, 12
+
+
+def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, switch: float = SWITCH, window: int = WINDOW) -> np.ndarray:
+    """The labelling of each text's words of the greatest sum of scores less ``switch`` for each change.
+
+    Texts are cut into windows, which all step at once: a window's table holds the best score for each pair of its first
+    and its last label. Then the windows of a text are chained by their tables, and the paths within are read back. The
+    result is that of one recursion over the whole text.
+    """
     n, k = score.shape
+    if k > MANY:
+        window = max(n, 1)
     count = np.bincount(doc, minlength=n_docs)
-    order = np.argsort(-count, kind="stable")
-    first = np.concatenate(([0], np.cumsum(count)[:-1]))[order]
-    length = count[order]
-    alive = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")  # texts with over t words
-    came = np.empty((n, k), np.int16)
-    value = np.zeros((len(order), k), np.float32)
-    own = np.arange(k, dtype=np.int16)
+    parts = -(-count // window)
+    first_part = np.concatenate(([0], np.cumsum(parts)))
+    of = np.repeat(np.arange(n_docs), parts)
+    nth = np.arange(len(of)) - first_part[of]
+    start = np.concatenate(([0], np.cumsum(count)[:-1]))[of] + nth * window
+    length = np.minimum(count[of] - nth * window, window)
+    order = np.argsort(-length, kind="stable")
+    alive = np.searchsorted(-length[order], -np.arange(1, (length[order[0]] if len(order) else 0) + 1), "right")  # windows of over t words
+    begin = start[order]
+    came = np.empty((n, k, k), np.int8 if k < 128 else np.int16)
+    table = np.full((len(order), k, k), -1e30, np.float32)  # first label, last label
+    own = np.arange(k, dtype=came.dtype)
     for t, m in enumerate(alive):
-        at, v = first[:m] + t, value[:m]
-        best = v.argmax(1)
-        jump = v[np.arange(m), best][:, None] - switch
-        stay = v >= jump
-        came[at] = np.where(stay, own, best[:, None].astype(np.int16))
-        v = np.where(stay, v, jump) + score[at]
-        value[:m] = v - v.max(1, keepdims=True)
+        at, v = begin[:m] + t, table[:m]
+        if t == 0:
+            v[:, own, own] = 0
+            came[at] = own
+        else:
+            top = v.argmax(2)
+            jump = np.take_along_axis(v, top[:, :, None], 2) - switch
+            came[at] = np.where(v >= jump, own, top[:, :, None])
+            np.maximum(v, jump, out=v)
+        v += score[at][:, None, :]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    value = np.zeros((n_docs, k))
+    into = np.zeros((len(order), k), np.int64)  # of each window and last label: the best first label
+    left = np.zeros((len(order), k), np.int64)  # of each window and first label: the last label of the window before
+    steps = parts.max() if n_docs else 0
+    for q in range(steps):
+        docs = np.flatnonzero(parts > q)
+        w = place[first_part[docs] + q]
+        u = value[docs]
+        best = u.argmax(1)
+        jump = u[np.arange(len(docs)), best][:, None] - (switch if q else 0)
+        left[w] = np.where(u >= jump, np.arange(k), best[:, None])
+        both = np.maximum(u, jump)[:, :, None] + table[w]
+        into[w] = both.argmax(1)
+        u = both.max(1)
+        value[docs] = u - u.max(1, keepdims=True)
+    last = np.zeros(len(order), np.int64)
+    head = np.zeros(len(order), np.int64)
+    now = value.argmax(1) if n_docs else np.zeros(0, np.int64)
+    for q in range(steps - 1, -1, -1):
+        docs = np.flatnonzero(parts > q)
+        w = place[first_part[docs] + q]
+        last[w] = now[docs]
+        head[w] = into[w, now[docs]]
+        now[docs] = left[w, head[w]]
     label = np.empty(n, np.int64)
-    now = value.argmax(1)
     for t in range(len(alive) - 1, -1, -1):
-        at = first[: alive[t]] + t
-        label[at] = now[: alive[t]]
-        now[: alive[t]] = came[at, now[: alive[t]]]
+        m = alive[t]
+        at = begin[:m] + t
+        label[at] = last[:m]
+        last[:m] = came[at, head[:m], last[:m]]
     return label
 
 
-def _pieces(batches, text: str, limit: int = 600_000):
-    from ._text import slices
-
-    return slices(batches, text, limit)
+def _pieces(batches, text: str):
+    return slices(batches, text, 1_500_000)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -163,14 +208,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 continue
             names, of = np.unique(np.array(b.column(lang).to_pylist()), return_inverse=True)
             at, orders = grams(w)
-            letter_lang = np.repeat(of[w.doc], w.end - w.start)
+            size = w.end - w.start
+            letter = np.repeat(of[w.doc], size) * (PLACES + 1)
+            seen = sum(np.bincount(letter + o, minlength=len(names) * (PLACES + 1)) for o in orders).reshape(len(names), -1)
+            used = np.bincount(of[w.doc] * len(_NAMES) + w.script, weights=size, minlength=len(names) * len(_NAMES)).astype(np.int64).reshape(len(names), -1)
             for k, name in enumerate(names):
-                mine = letter_lang == k
-                total = held.setdefault(str(name), np.zeros(PLACES + 1 + len(_NAMES), np.int64))
-                for o in orders:
-                    total[: PLACES + 1] += np.bincount(o[mine], minlength=PLACES + 1)
-                used = of[w.doc] == k
-                total[PLACES + 1 :] += np.bincount(w.script[used], weights=(w.end - w.start)[used], minlength=len(_NAMES)).astype(np.int64)
+                held.setdefault(str(name), np.zeros(PLACES + 1 + len(_NAMES), np.int64))[:] += np.concatenate((seen[k], used[k]))
         for name, total in held.items():
             full = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(total[full])], ["lang", "place", "n"])

@@ -8,11 +8,11 @@ from kinfold.llm.queries import QUERIES
 
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(0)
-    counts = [0, 1, 4, 6, 3]
+    counts = [0, 1, 4, 7, 3]
     doc = np.repeat(np.arange(5), counts)
-    score = rng.normal(0, 3, (len(doc), 3)).astype(np.float32)
-    label = language.viterbi(score, doc, 5, 1.5)
-    for i in range(5):
+    for i, window in itertools.product(range(5), (1, 2, 3, 100)):
+        score = rng.normal(0, 2, (len(doc), 3)).astype(np.float32)
+        label = language.viterbi(score, doc, 5, 1.5, window)
         s = score[doc == i]
         value = lambda path: sum(s[t, p] for t, p in enumerate(path)) - 1.5 * sum(a != b for a, b in itertools.pairwise(path))  # noqa: B023, E731
         if len(s):
