@@ -1,14 +1,15 @@
 """Language-model scoring with a probabilistic suffix tree over words (operator 1).
 
-The root holds the count of every training word. Below it are contexts of one and two words that are common enough (a
-share CONTEXT_SHARE of all tokens) and whose next-word distribution differs from that of the context's suffix by a
-likelihood-ratio test: count * KL(context || suffix) >= DIVERGENCE. Contexts tell the commonest words (SYMBOL_SHARE)
-apart and lump the rest as one symbol, which spreads over words as the root does. A kept count is discounted; the mass
-freed goes to the suffix's distribution, so that every distribution sums to one. A token is scored at the longest context
-that the tree holds. Unknown words are one symbol whose share is estimated from the words seen once.
-
-All counts are taken over all training rows. Shares bound what is broadcast: at most 1 / share words or pairs, however large
-the corpus; the root's rarer words are never gathered but joined.
+The root holds the count of every training word. Below it are contexts of one and two words whose next-word distribution
+differs from that of the context's suffix by a likelihood-ratio test: count * KL(context || suffix) >= DIVERGENCE. Contexts
+tell all words seen SYMBOL_COUNT times apart and lump the rest as one symbol, which spreads over words as the root does. A
+kept count is discounted; the mass freed goes to the suffix's distribution, so that every distribution sums to one. A token
+is scored at the longest context that the tree holds. Unknown words are one symbol whose share is estimated from the words
+seen once.
+
+All counts are taken over all training rows, and all least counts are absolute: what was seen often enough to be kept in a
+small corpus is kept in a large one, so the tree, which is gathered and broadcast, grows with the corpus. Words seen once
+are never gathered but joined.
 """
 
 from __future__ import annotations
@@ -23,19 +24,36 @@ from pyspark.sql import functions as F
 from ._spark import partitions, written
 from ._text import U64, Tokens, column_bytes, mix, planes, slices, squeeze, tokens, unplanes, unsqueeze
 
-#: Words of at least this share of all tokens are looked up in a broadcast table (1e6 words at most).
-FREQUENT_SHARE = 1e-6
-#: Least share of the words that contexts tell apart and of the contexts themselves (1e5 of each length at most).
-SYMBOL_SHARE = CONTEXT_SHARE = 1e-5
-#: Least count of a next word in a context, absolute and as a share of all tokens (1e6 pairs of each length at most).
-PAIR_COUNT, PAIR_SHARE = 2, 1e-6
+#: Words of less than this share of all tokens are joined even if seen SYMBOL_COUNT times, and lumped in contexts (0: none).
+FREQUENT_SHARE = 0.0
+#: Least count of the words that contexts tell apart, of a next word in a context, and (discounted) of two words as a context.
+SYMBOL_COUNT, PAIR_COUNT, CONTEXT_COUNT = 2, 2, 4
 DIVERGENCE, DISCOUNT = 10.0, 0.75
 END = U64(0x5851F42D4C957F2D)
 _FLUSH = 4_000_000
 
 
+def _packed(x: np.ndarray) -> tuple[str, int, bytes]:
+    """x for the broadcast, which is written to disk by the driver and each executor: differences, bytes of equal weight together, compressed."""
+    return x.dtype.str, len(x), squeeze(planes(np.diff(x, prepend=x.dtype.type(0))))
+
+
+def _unpacked(kind: str, n: int, blob: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(unsqueeze(blob), n, np.dtype(kind)), dtype=np.dtype(kind))
+
+
+class Packed:
+    """Arrays are pickled packed; counts are whole quarters, so their differences are exact."""
+
+    def __getstate__(self) -> dict:
+        return {k: _packed(x) if isinstance(x, np.ndarray) else x for k, x in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update({k: _unpacked(*x) if isinstance(x, tuple) else x for k, x in state.items()})
+
+
 @dataclass
-class Level:
+class Level(Packed):
     """Contexts of one length: kept (context, symbol) keys in order with discounted counts; of each context its total (0: not kept) and freed mass."""
 
     keys: np.ndarray
@@ -45,11 +63,11 @@ class Level:
 
 
 @dataclass
-class Tree:
+class Tree(Packed):
     n: int  # training tokens
     v: int  # distinct ones
     once: int  # words seen once
-    words: np.ndarray  # hashes of the frequent words, in order
+    words: np.ndarray  # hashes of the words of the least count, in order
     symbol: np.ndarray  # of each: its symbol, or `rare`
     count: np.ndarray  # of each
     rare: int
@@ -70,7 +88,7 @@ class Tree:
         return p
 
     def place(self, h: np.ndarray) -> np.ndarray:
-        """Place of each hash among the frequent words, or -1."""
+        """Place of each hash among the tree's words, or -1."""
         if not len(self.words):
             return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
@@ -203,14 +221,16 @@ def _grown(docs: DataFrame, tree: Tree, text: str) -> Level:
             p = base[s]
         share = c / np.repeat(total, np.diff(np.append(first, len(c))))
         gain = np.add.reduceat(c * np.log(share / np.maximum(p, 1e-300)), first)  # count * KL
-        good = (gain >= DIVERGENCE) & (total >= CONTEXT_SHARE * t.n)
-        keep = np.repeat(good, np.diff(np.append(first, len(c)))) & (c >= max(PAIR_COUNT, PAIR_SHARE * t.n))
+        good = gain >= DIVERGENCE
+        keep = np.repeat(good, np.diff(np.append(first, len(c)))) & (c >= PAIR_COUNT)
         number = np.concatenate((ctx[first][good], ctx[keep]))
         symbol = np.concatenate((np.full(int(good.sum()), -1), s[keep]))
         return pa.table({"context": pa.array(number, pa.int64()), "symbol": pa.array(symbol, pa.int64()), "c": pa.array(np.concatenate((total[good], c[keep])).astype(np.int64))})
 
     rows = docs.select(text).mapInArrow(count, "bucket long, pairs binary").groupBy("bucket").applyInArrow(test, "context long, symbol long, c long").toArrow()
     ctx, s, c = (np.asarray(rows.column(x)) for x in ("context", "symbol", "c"))
+    held.destroy()
+    root.destroy()
     total, mass = np.zeros(n_contexts), np.zeros(n_contexts)
     total[ctx[s < 0]] = c[s < 0]
     own = s >= 0
@@ -222,25 +242,27 @@ def _grown(docs: DataFrame, tree: Tree, text: str) -> Level:
     return Level(keys, kept, total, mass)
 
 
+def least_count(n: int) -> float:
+    """Least count of the words that the tree holds."""
+    return max(SYMBOL_COUNT, FREQUENT_SHARE * n)
+
+
 def train(docs: DataFrame, text: str = "text", depth: int = 2) -> tuple[Tree, DataFrame]:
-    """The tree learnt from docs, and the table (word, c) of all words, of which the tree holds only the frequent."""
+    """The tree learnt from docs, and the table (word, c) of all words, of which the tree holds those of the least count."""
     counts = written(word_counts(docs, text))
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1))).first()
-    top = counts.filter(F.col("c") >= max(1, FREQUENT_SHARE * n)).toArrow()
+    top = counts.filter(F.col("c") >= least_count(n)).toArrow()
     words, c = np.asarray(top.column("word")).view(U64), np.asarray(top.column("c"))
     order = np.argsort(words)
     words, c = words[order], c[order]
-    told = np.flatnonzero(c >= max(2, SYMBOL_SHARE * n))
-    symbol = np.full(len(words), len(told))
-    symbol[told] = np.arange(len(told))
-    tree = Tree(n, v, once, words, symbol, c, len(told), [], np.zeros(0, np.int64))
+    tree = Tree(n, v, once, words, np.arange(len(words)), c, len(words), [], np.zeros(0, np.int64))
     if depth >= 1:
         tree.levels.append(_grown(docs, tree, text))
-    if depth >= 2 and len(told):
+    if depth >= 2 and len(words):
         one = tree.levels[0]
         s = one.keys % (tree.rare + 1)
-        good = (one.keys >= 0) & (one.counts >= max(4, CONTEXT_SHARE * n)) & (s < tree.rare)
-        good &= one.total[np.minimum(s, len(told) - 1)] > 0  # the tree is closed under suffixes
+        good = (one.keys >= 0) & (one.counts >= CONTEXT_COUNT) & (s < tree.rare)
+        good &= one.total[np.minimum(s, len(words) - 1)] > 0  # the tree is closed under suffixes
         tree.pairs = one.keys[good]
         tree.levels.append(_grown(docs, tree, text))
     return tree, counts
@@ -249,7 +271,7 @@ def train(docs: DataFrame, text: str = "text", depth: int = 2) -> tuple[Tree, Da
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each id; rows that repeat an id count together.
 
-    Frequent words are scored where the text is read; the others go to the table of counts by one join on the word.
+    The tree's words are scored where the text is read; the others go to the table of counts by one join on the word.
     """
     held = docs.sparkSession.sparkContext.broadcast(tree)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -283,7 +305,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
 
     names = ["id", "word", "n", "known", "base", "value", "far"]
     parts = docs.select(F.col(id_col).alias(id_col), text).mapInArrow(run, f"id {kind}, word long, n long, known long, base double, value double, far boolean")
-    rare_words = counts.filter(F.col("c") < max(1, FREQUENT_SHARE * tree.n)).select("word", "c")
+    rare_words = counts.filter(F.col("c") < least_count(tree.n)).select("word", "c")
     joined = parts.join(rare_words, "word", "left")
     n, c = F.col("n"), F.coalesce("c", F.lit(0))
     seen = F.col("far") & F.col("c").isNotNull()

@@ -73,3 +73,13 @@ def test_edge_cases(spark):
     assert suffix_tree.learn_and_score(df.limit(0), F.lit(False)).count() == 0
     none = suffix_tree.learn_and_score(df, F.lit(True)).collect()
     assert len(none) == 5 and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in none)
+
+
+def test_what_is_kept_does_not_depend_on_the_size_of_the_corpus(spark):
+    few = [(i, f"{a} brown {b}") for i in range(16) for a, b in (("quick", "foxes"), ("big", "bears"))]
+    rest = [(100 + i, " ".join(f"x{i}y{k}" for k in range(10_000))) for i in range(200)]  # 2,000,000 other words
+    small, _ = suffix_tree.train(spark.createDataFrame(few, "doc_id long, text string"))
+    large, _ = suffix_tree.train(spark.createDataFrame(few + rest, "doc_id long, text string").repartition(4))
+    assert set(small.words) <= set(large.words) and large.rare >= small.rare == 6
+    for a, b in zip(small.levels, large.levels, strict=True):
+        assert 0 < (a.total > 0).sum() <= (b.total > 0).sum() and (b.keys >= 0).sum() >= (a.keys >= 0).sum() > 0
