@@ -88,7 +88,7 @@ def rule_fires(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("rule", "outcome").agg(F.count("*").alias("fires"))
 
 
-def greedy_merges(decisions: DataFrame, rounds: int = 20) -> DataFrame:
+def greedy_merges(decisions: DataFrame) -> DataFrame:
     """(canonical, merged): the merges that processing sources in order of id would make in one pass.
 
     A source acts only if nothing merged it away before. In each round a pair acts if no earlier open source can still merge
@@ -99,9 +99,7 @@ def greedy_merges(decisions: DataFrame, rounds: int = 20) -> DataFrame:
 
     open_ = settled(decisions.filter("outcome = 'auto_merge' and source_id <> target_id").select("source_id", "target_id").distinct())
     done = open_.limit(0)
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():  # each round takes a pair out at least
         first = open_.groupBy(F.col("target_id").alias("t")).agg(F.min("source_id").alias("by"))
         threatened = first.filter("by < t").select(F.col("t").alias("id"))
         sources = open_.select(F.col("source_id").alias("id")).distinct()

@@ -65,6 +65,13 @@ def test_greedy_merges_follow_the_order_of_sources(spark):
     assert sorted(tuple(r) for r in engine.greedy_merges(df).collect()) == [("a", "b"), ("c", "d")]
 
 
+def test_greedy_merges_end_only_when_nothing_is_open(spark):
+    ids = [f"n{i:02}" for i in range(46)]
+    df = spark.createDataFrame([(*r, "auto_merge") for r in zip(ids, ids[1:])], "source_id string, target_id string, outcome string")
+    # Each source in turn takes the next, which then takes nothing: one merge a round, 23 in all.
+    assert sorted(tuple(r) for r in engine.greedy_merges(df.coalesce(1)).collect()) == list(zip(ids[::2], ids[1::2]))
+
+
 def test_fold_keeps_latest_and_sticky_flags(spark):
     rows = [("a", "b", "r1", 0.9, "d1", True, False, 1), ("a", "b", "r2", 0.95, "d2", False, True, 2), ("a", "b", "r1", 0.95, "d3", False, False, 3)]
     df = spark.createDataFrame(rows, "source_id string, target_id string, rule string, confidence double, detected_at string, reviewed boolean, conflict boolean, seq int")
