@@ -27,6 +27,19 @@ def test_reparameterised_and_inconsistent_questions(spark):
     assert got[1, 1]["exact"] and got[1, 1]["coverage"] > 0.9 and not got[2, 1]["exact"]
 
 
+def test_items_of_few_plain_words_and_items_with_a_word_put_in_or_left_out(spark):
+    sums = "Add 12 and 13 and 14 kg then 15 16 17 and 18 km minus 19 20 21 %"
+    names = "Members: Anna Berg Boris Cole Clara Dahl Dario Eng Emil Falk Fred Gray"
+    upper = "FIND THE SUM OF ALL PRIME NUMBERS BELOW TWENTY AND EXPLAIN EACH STEP"
+    long = "the old miller carried every sack of flour across the narrow bridge before sunrise and then he slept under the tall oak until the evening bell rang twice"
+    words = long.split()
+    free = "so then people often talk about many other things in the long evening hours without any plan"
+    docs = [(1, f"{free} {sums} {free}"), (2, f"{free} {names} {free}"), (3, f"{free}. {upper} {free}"), (4, " ".join([*words[:14], "quietly", *words[14:]])), (5, " ".join(words[:14] + words[15:])), (6, sums.replace("1", "3")), (7, " ".join(words[14:] + free.split() + words[:10]))]
+    got = found(spark, docs, [(1, sums), (2, names), (3, upper), (4, long)])
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4)}
+    assert all(r["exact"] for r in got.values())
+
+
 def test_short_item_and_empty_tables(spark):
     got = found(spark, [(1, "they ask what is the capital of Spain? and so on"), (2, "the capital of it all")], [(5, "What is the capital of France?")])
     assert set(got) == {(1, 5)}
