@@ -49,7 +49,7 @@ def resolve(requests: DataFrame, entities: DataFrame, label: str = "Company", se
     text = N.query_text(F.col("name"))
     rest = ask.filter(full_name & (F.length(text) >= s.resolver_min_name)).join(exact.select("row_id"), "row_id", "left_anti").select(F.col("row_id").alias("id"), text.alias("text"), F.col("iso").alias("country"))
     docs = entities.select("id", N.query_text(F.col("name")).alias("text"), F.coalesce("country", F.lit("")).alias("country"))
-    fuzzy = fulltext.retrieve(rest, docs, 5, s.fulltext_max_df, ["country"], exclude_self=False, floor=s.resolver_fulltext_floor)
+    fuzzy = fulltext.retrieve(rest, docs, 5, ["country"], exclude_self=False, floor=s.resolver_fulltext_floor, max_df=s.fulltext_max_df)
     fuzzy = fuzzy.groupBy(F.col("source_id").alias("row_id")).agg(F.sort_array(F.collect_list(F.struct("place", "target_id", "score"))).alias("c"))
     fuzzy = fuzzy.select("row_id", F.lit("fuzzy").alias("tier"), F.least(F.lit(0.94), F.col("c")[0]["score"] / 10).alias("confidence"), F.lit("ambiguous").alias("hint"), F.lit(None).cast("string").alias("match_id"), F.transform("c", lambda x: x["target_id"]).alias("candidates"))
     found = exact.unionByName(fuzzy)

@@ -16,7 +16,7 @@ from ..config import Settings
 from ..functions import names as N
 from ..functions.similarity import jaro_winkler
 from . import fulltext, vectors
-from .graph import cluster_collapse, node_similarity
+from .graph import cluster_collapse, node_similarity, settled
 
 CANDIDATE = ["source_id", "target_id", "confidence", "action", "conflict", "conflict_property"]
 
@@ -28,6 +28,8 @@ class Tables:
     entities: DataFrame
     same_as: DataFrame | None = None
     neighbours: DataFrame | None = None
+    #: Rules of the pass that tell from a pair's own columns whether they merge it, by priority.
+    known: tuple[Rule, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,8 @@ class Rule:
     threshold: float | None
     forced: bool
     find: Callable[[Tables, Settings], DataFrame | None] | None
+    #: For a forced merge: whether it merges the pair (a_*, b_*), from columns alone.
+    holds: Callable[[], Column] | None = None
 
 
 def prepare(entities: DataFrame) -> DataFrame:
@@ -69,61 +73,98 @@ def hard_id_conflict(a: str = "a", b: str = "b") -> Column:
 
 
 IDS = ["id", "lei_canon", "cik_canon", "vat_canon"]
+#: What the rules with `holds` look at.
+SEEN = ["lei", "cik", "vat", "lei_canon", "cik_canon", "vat_canon", "name_clean", "country", "active"]
 
 
-def _pairs(df: DataFrame, keys: list[str], action: str, confidence: float, conflicts: bool, extra: Column | None = None, left=(), right=(), left_if: Column | None = None, right_if: Column | None = None) -> DataFrame:
+def _equal(*columns: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & (F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col(f"a_{c}") != "")
+    return F.coalesce(out, F.lit(False))
+
+
+def same_id(column: str) -> Callable[[], Column]:
+    return lambda: _equal(column) & hard_id_conflict().isNull()
+
+
+def succeeds() -> Column:
+    issuer = F.substring("a_lei", 1, 4)
+    same = F.coalesce((issuer != "") & (issuer == F.substring("b_lei", 1, 4)), F.lit(False))
+    return _equal("name_clean", "country") & same & F.coalesce(F.col("a_active"), F.lit(False)) & ~F.coalesce("b_active", F.lit(True))
+
+
+def merged_before(t: Tables, name: str) -> list[Column]:
+    """`before`: the priority of the first of the known rules that comes before the rule and merges the pair (a_*, b_*); null if none does.
+
+    Only what can matter is computed: the pairs of a hot key are many. No column where no rule is known.
+    """
+    own = next(r.priority for r in RULES if r.name == name)
+    first = [F.when(r.holds(), F.lit(r.priority)) for r in sorted(t.known, key=lambda r: r.priority) if r.priority < own]
+    return [F.coalesce(*first, F.lit(None).cast("int")).alias("before")] if t.known else []
+
+
+def _seen(t: Tables) -> list[str]:
+    return [c for c in SEEN if c in t.entities.columns] if t.known else []
+
+
+def _pairs(name: str, t: Tables, df: DataFrame, keys: list[str], action: str, confidence: float, conflicts: bool, extra: Column | None = None, left=(), right=(), left_if: Column | None = None, right_if: Column | None = None) -> DataFrame:
     """Self-join on keys; with conflicts, pairs that disagree on a hard identifier become conflict flags."""
-    ids = IDS if conflicts else ["id"]
+    ids = [*(IDS if conflicts else ["id"]), *_seen(t)]
     full = df
     for k in keys:
         full = full.filter(_present(k))
     a, b = _sides(full if left_if is None else full.filter(left_if), keys, [*ids, *left], [])[0], _sides(full if right_if is None else full.filter(right_if), keys, [], [*ids, *right])[1]
     met = a.join(b, keys).filter(F.col("a_id") != F.col("b_id"))
+    for k in keys:  # a key is a column of both sides
+        met = met.withColumn(f"a_{k}", F.col(k)).withColumn(f"b_{k}", F.col(k))
     if extra is not None:
         met = met.filter(extra)
-    prop = hard_id_conflict() if conflicts else F.lit(None).cast("string")
-    return met.select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"), F.lit(confidence).alias("confidence"), F.when(prop.isNotNull(), "flag").otherwise(action).alias("action"), prop.isNotNull().alias("conflict"), prop.alias("conflict_property"))
+    met = met.withColumn("prop", hard_id_conflict() if conflicts else F.lit(None).cast("string"))
+    prop = F.col("prop")
+    return met.select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"), F.lit(confidence).alias("confidence"), F.when(prop.isNotNull(), "flag").otherwise(action).alias("action"), prop.isNotNull().alias("conflict"), prop.alias("conflict_property"), *merged_before(t, name))
 
 
 def exact_id(column: str):
     """Equal raw value; pairs in conflict on a canonical identifier are flagged instead."""
-    return lambda t, s: _pairs(t.entities, [column], "merge", 1.0, True)
+    return lambda t, s: _pairs(f"exact_{column}_match", t, t.entities, [column], "merge", 1.0, True)
 
 
 def authority_id(t: Tables, s: Settings) -> DataFrame:
     """Equal id of two rows that differ in it: empty by its own condition."""
-    return _pairs(t.entities.withColumn("same_id", F.col("id")), ["same_id"], "merge", 1.0, False)
+    return _pairs("exact_authority_id_match", t, t.entities.withColumn("same_id", F.col("id")), ["same_id"], "merge", 1.0, False)
 
 
 def name_country_company(t: Tables, s: Settings) -> DataFrame:
-    return _pairs(t.entities, ["name_clean", "country"], "flag", 0.95, True)
+    return _pairs("exact_name_country_match", t, t.entities, ["name_clean", "country"], "flag", 0.95, True)
 
 
 def name_country_authority(t: Tables, s: Settings) -> DataFrame:
-    return _pairs(t.entities, ["name_clean", "country"], "merge", 0.95, False)
+    return _pairs("exact_name_country_match_authority", t, t.entities, ["name_clean", "country"], "merge", 0.95, False)
 
 
 def name_any_country(t: Tables, s: Settings) -> DataFrame:
     other = F.coalesce("a_country", F.lit("")) != F.coalesce("b_country", F.lit(""))
-    return _pairs(t.entities, ["name_clean"], "flag", 0.90, False, other, ["country"], ["country"])
+    return _pairs("exact_name_any_country_authority", t, t.entities, ["name_clean"], "flag", 0.90, False, other, ["country"], ["country"])
 
 
 def successor(t: Tables, s: Settings) -> DataFrame:
     """An active company and an inactive one of its name, country and issuer prefix of the LEI."""
     rows = t.entities.withColumn("issuer", F.substring("lei", 1, 4))
-    return _pairs(rows, ["name_clean", "country", "issuer"], "merge", 0.98, False, left_if=F.col("active"), right_if=~F.coalesce("active", F.lit(True)))
+    return _pairs("successor_lei_match", t, rows, ["name_clean", "country", "issuer"], "merge", 0.98, False, left_if=F.col("active"), right_if=~F.coalesce("active", F.lit(True)))
 
 
 def _fuzzy(t: Tables, s: Settings, normal, conflicts: bool) -> DataFrame:
     rows = t.entities.filter(_present("name") & _present("country"))
     docs = rows.select("id", N.query_text(F.col("name")).alias("text"), "country")
-    got = fulltext.retrieve(docs, docs, s.fulltext_limit, s.fulltext_max_df, ["country"])
-    own = rows.select("id", normal(F.col("name")).alias("norm"), *([c for c in IDS if c != "id"] if conflicts else []))
+    got = fulltext.retrieve(docs, docs, s.fulltext_limit, ["country"], max_df=s.fulltext_max_df)
+    own = rows.select("id", normal(F.col("name")).alias("norm"), *dict.fromkeys([*([c for c in IDS if c != "id"] if conflicts else []), *_seen(t)]))
     side = lambda x: own.select(*[F.col(c).alias(f"{x}_{c}") for c in own.columns])
     met = got.join(side("a"), F.col("source_id") == F.col("a_id")).join(side("b"), F.col("target_id") == F.col("b_id")).filter("a_norm <> '' and b_norm <> ''")
-    near = met.withColumn("jw", jaro_winkler("a_norm", "b_norm")).filter(F.col("jw") >= s.fuzzy_name_threshold)
+    # Settled, so that who reads the candidates twice doesn't compare the names twice.
+    near = settled(met.withColumn("jw", jaro_winkler("a_norm", "b_norm")).filter(F.col("jw") >= s.fuzzy_name_threshold))
     refused = hard_id_conflict().isNotNull() if conflicts else F.lit(False)
-    return near.select("source_id", "target_id", F.when(refused, 0.0).otherwise(F.col("jw")).alias("confidence"), F.when(refused, "noop").otherwise("flag").alias("action"), F.lit(False).alias("conflict"), F.lit(None).cast("string").alias("conflict_property"))
+    return near.select("source_id", "target_id", F.when(refused, 0.0).otherwise(F.col("jw")).alias("confidence"), F.when(refused, "noop").otherwise("flag").alias("action"), F.lit(False).alias("conflict"), F.lit(None).cast("string").alias("conflict_property"), *merged_before(t, "fuzzy_name_same_country" if conflicts else "fuzzy_name_same_country_authority"))
 
 
 def fuzzy_company(t: Tables, s: Settings) -> DataFrame:
@@ -175,15 +216,15 @@ def collapse(t: Tables, s: Settings) -> DataFrame | None:
 
 
 RULES = [
-    Rule(1, "exact_lei_match", "Company", 1.0, "merge", None, True, exact_id("lei")),
-    Rule(2, "exact_cik_match", "Company", 1.0, "merge", None, True, exact_id("cik")),
-    Rule(3, "exact_vat_match", "Company", 1.0, "merge", None, True, exact_id("vat")),
+    Rule(1, "exact_lei_match", "Company", 1.0, "merge", None, True, exact_id("lei"), same_id("lei")),
+    Rule(2, "exact_cik_match", "Company", 1.0, "merge", None, True, exact_id("cik"), same_id("cik")),
+    Rule(3, "exact_vat_match", "Company", 1.0, "merge", None, True, exact_id("vat"), same_id("vat")),
     Rule(4, "gds_same_as_cluster_collapse_company", "Company", 1.0, "merge", None, True, collapse),
     Rule(5, "translation_enrichment_authority", "Authority", 1.0, "enrich", None, False, None),
     Rule(6, "exact_authority_id_match", "Authority", 1.0, "merge", None, True, authority_id),
     Rule(7, "gds_same_as_cluster_collapse_authority", "Authority", 1.0, "merge", None, True, collapse),
     Rule(8, "translation_enrichment_contract", "Contract", 1.0, "enrich", None, False, None),
-    Rule(9, "successor_lei_match", "Company", 0.98, "merge", None, True, successor),
+    Rule(9, "successor_lei_match", "Company", 0.98, "merge", None, True, successor, succeeds),
     Rule(10, "exact_name_country_match", "Company", 0.95, "flag", None, False, name_country_company),
     Rule(11, "fuzzy_name_same_country", "Company", 0.95, "flag", 0.97, False, fuzzy_company),
     Rule(12, "exact_name_country_match_authority", "Authority", 0.95, "merge", None, False, name_country_authority),
