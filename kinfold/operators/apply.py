@@ -14,10 +14,12 @@ def fold_detections(detections: DataFrame) -> DataFrame:
     detections: (source_id, target_id, rule, confidence, detected_at, reviewed, conflict, seq). Of a rule the latest stays,
     at its latest place; the summary is the first of greatest confidence. seq orders detections.
     """
-    last = Window.partitionBy("source_id", "target_id", "rule").orderBy(F.desc("seq"))
-    pair = Window.partitionBy("source_id", "target_id")
-    rows = detections.withColumns({"place": F.row_number().over(last), "any_reviewed": F.bool_or(F.coalesce("reviewed", F.lit(False))).over(pair), "any_conflict": F.bool_or(F.coalesce("conflict", F.lit(False))).over(pair)}).filter("place = 1")
-    folded = rows.groupBy("source_id", "target_id", F.col("any_reviewed").alias("reviewed"), F.col("any_conflict").alias("conflict")).agg(F.sort_array(F.collect_list(F.struct("seq", "rule", "confidence", "detected_at"))).alias("d"))
+    folded = detections.groupBy("source_id", "target_id").agg(
+        F.bool_or(F.coalesce("reviewed", F.lit(False))).alias("reviewed"), F.bool_or(F.coalesce("conflict", F.lit(False))).alias("conflict"),
+        F.sort_array(F.collect_list(F.struct("seq", "rule", "confidence", "detected_at"))).alias("d"),
+    )
+    place = lambda i: F.slice(F.col("d")["rule"], i + 2, F.size("d"))  # noqa: E731  the rules of later detections
+    folded = folded.withColumn("d", F.when(F.size("d") == 1, F.col("d")).otherwise(F.filter("d", lambda x, i: ~F.array_contains(place(i), x["rule"]))))
     top = F.array_max("confidences")
     best = lambda c: F.element_at(c, F.array_position("confidences", top).cast("int"))
     d = F.col("d")  # a field of an array of structs is the array of the fields
