@@ -6,8 +6,10 @@ by `greedy_merges`: merges are taken in order of (source, priority, target), and
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +22,16 @@ OUTCOMES = ("auto_merge", "auto_link", "conflict", "flag", "enrich", "noop")
 def candidates(tables: Tables, label: str, settings: Settings, mode: str = "all", exclude_prefix: str | None = None, rules: list[Rule] | None = None) -> DataFrame:
     """The union of the rules' candidates with the rule's name, priority, threshold and force; repeats of a pair in a rule count once."""
     parts = []
-    for r in rules if rules is not None else select(label, mode, exclude_prefix):
+    active = rules if rules is not None else select(label, mode, exclude_prefix)
+    tables = replace(tables, known=tuple(r for r in active if r.holds))
+    for r in active:
         found = r.find(tables, settings) if r.find else None
         if found is not None:
-            parts.append(found.select("source_id", "target_id", "confidence", "action", "conflict", "conflict_property", F.lit(r.name).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.threshold).cast("double").alias("threshold"), F.lit(r.forced).alias("forced")))
+            if "before" not in found.columns:
+                found = found.withColumn("before", F.lit(None).cast("int"))
+            parts.append(found.select("source_id", "target_id", "confidence", "action", "conflict", "conflict_property", F.lit(r.name).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.threshold).cast("double").alias("threshold"), F.lit(r.forced).alias("forced"), "before"))
     if not parts:
-        return tables.entities.limit(0).select(*[F.lit(None).cast(k).alias(c) for c, k in (("source_id", "string"), ("target_id", "string"), ("confidence", "double"), ("action", "string"), ("conflict", "boolean"), ("conflict_property", "string"), ("rule", "string"), ("priority", "int"), ("threshold", "double"), ("forced", "boolean"))])
+        return tables.entities.limit(0).select(*[F.lit(None).cast(k).alias(c) for c, k in (("source_id", "string"), ("target_id", "string"), ("confidence", "double"), ("action", "string"), ("conflict", "boolean"), ("conflict_property", "string"), ("rule", "string"), ("priority", "int"), ("threshold", "double"), ("forced", "boolean"), ("before", "int"))])
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -34,15 +40,30 @@ def outcome(action: Column, conflict: Column, forced: Column, enabled: bool) ->
     return F.when(gated, "flag").when(action == "merge", "auto_merge").when(action == "link", "auto_link").when(action == "flag", F.when(conflict, "conflict").otherwise("flag")).when(action == "enrich", "enrich").otherwise("noop")
 
 
-def decide(found: DataFrame, settings: Settings) -> DataFrame:
-    """Decisions with `decided` (the action after promotion), `applied_force` and `outcome`; after a merge or link of a target, later rules skip it for that source."""
+def judge(found: DataFrame, settings: Settings, rules: list[Rule] | None = None) -> DataFrame:
+    """All candidates with `decided` (the action after promotion), `applied_force`, `outcome` and `skipped`: after a merge or link of a target, later rules skip it for that source.
+
+    ``before`` of a candidate names the first rule that merges the pair as its own columns tell. If ``rules`` are those of
+    the pass, candidates of rules that come before every other merging one are judged by that alone and are not shuffled.
+    """
     promoted = (F.col("action") == "flag") & F.col("threshold").isNotNull() & (F.col("confidence") >= F.col("threshold")) & ~F.col("conflict")
     rows = found.withColumn("decided", F.when(promoted, "merge").otherwise(F.col("action")))
     rows = rows.withColumn("applied_force", F.col("forced") & (F.col("decided") == "merge") & ~F.col("conflict"))
     rows = rows.withColumn("outcome", outcome(F.col("decided"), F.col("conflict"), F.col("applied_force"), settings.auto_merge_enabled))
-    done = F.min(F.when(F.col("outcome").isin("auto_merge", "auto_link"), F.col("priority"))).over(Window.partitionBy("source_id", "target_id"))
+    earlier = F.col("before") if "before" in found.columns else F.lit(None).cast("int")
+    others = [r.priority for r in rules if not r.holds and (r.action in ("merge", "link") or r.threshold is not None)] if rules is not None else [0]
+    from_here = min(others, default=1 << 30)
+    merged = F.when(F.col("outcome").isin("auto_merge", "auto_link"), F.col("priority"))
+    done = F.least(earlier, F.min(merged).over(Window.partitionBy("source_id", "target_id")))
+    alone = rows.filter(F.col("priority") < from_here).withColumn("done", earlier)
+    judged = alone.unionByName(rows.filter(F.col("priority") >= from_here).withColumn("done", done))
     open_ = F.col("done").isNull() | (F.col("priority") <= F.col("done")) | (F.col("source_id") == F.col("target_id"))
-    return rows.withColumn("done", done).filter(open_).drop("done")
+    return judged.withColumn("skipped", ~open_).drop("done", "before")
+
+
+def decide(found: DataFrame, settings: Settings, rules: list[Rule] | None = None) -> DataFrame:
+    """The decisions: what judge doesn't skip."""
+    return judge(found, settings, rules).filter(~F.col("skipped")).drop("skipped")
 
 
 def consolidate(tables: Tables, label: str, settings: Settings, mode: str = "all", exclude_prefix: str | None = None, ids: DataFrame | None = None) -> DataFrame:
@@ -50,23 +71,23 @@ def consolidate(tables: Tables, label: str, settings: Settings, mode: str = "all
     found = candidates(tables, label, settings, mode, exclude_prefix)
     if ids is not None:
         found = found.join(ids.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
-    return decide(found, settings)
+    return decide(found, settings, select(label, mode, exclude_prefix))
 
 
 def run_outcome(has: dict[str, Column]) -> Column:
     return F.when(has["auto_merge"], "merged").when(has["auto_link"], "linked").when(has["conflict"], "conflict_flagged").when(has["flag"], "flagged").when(has["enrich"], "enriched").when(has["noop"], "noop").otherwise("no_match")
 
 
-def run_summary(ids: DataFrame, entities: DataFrame, decisions: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def run_summary(ids: DataFrame, entities: DataFrame, judged: DataFrame) -> DataFrame:
     """One row for each id asked for: decisions_count, rules_fired, outcome; ids without entity are not_found, those without decision no_match.
 
-    rules_fired counts rules with any candidate, taken from ``found`` before later rules were skipped.
+    rules_fired counts rules with any candidate, skipped ones too. judged is read once.
     """
-    fired = (found if found is not None else decisions).groupBy(F.col("source_id").alias("id")).agg(F.count_distinct("rule").alias("rules_fired"))
-    flags = [F.coalesce(F.bool_or(F.col("outcome") == o), F.lit(False)).alias(f"any_{o}") for o in OUTCOMES]
-    done = decisions.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("decisions_count"), *flags)
+    open_ = ~F.col("skipped")
+    flags = [F.coalesce(F.bool_or(open_ & (F.col("outcome") == o)), F.lit(False)).alias(f"any_{o}") for o in OUTCOMES]
+    done = judged.groupBy(F.col("source_id").alias("id")).agg(F.count_if(open_).alias("decisions_count"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, priority)"))).cast("long").alias("rules_fired"), *flags)
     there = entities.select("id", F.lit(True).alias("there"))
-    rows = ids.select("id").distinct().join(there, "id", "left").join(done, "id", "left").join(fired, "id", "left")
+    rows = ids.select("id").distinct().join(there, "id", "left").join(done, "id", "left")
     result = run_outcome({o: F.coalesce(F.col(f"any_{o}"), F.lit(False)) for o in OUTCOMES})
     return rows.select("id", F.coalesce("decisions_count", F.lit(0)).alias("decisions_count"), F.coalesce("rules_fired", F.lit(0)).alias("rules_fired"), F.when(F.col("there"), result).otherwise("not_found").alias("outcome"))
 
@@ -88,24 +109,65 @@ def rule_fires(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("rule", "outcome").agg(F.count("*").alias("fires"))
 
 
-def greedy_merges(decisions: DataFrame) -> DataFrame:
+#: Merges of one component that a task decides in order; larger components are first cut by rounds over the whole table.
+TOGETHER = 200_000
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """The merges of whole components, taken in order of the source."""
+    gone: set[str] = set()
+    out = []
+    for source, target in sorted(zip(table.column("source_id").to_pylist(), table.column("target_id").to_pylist(), strict=True)):
+        if source not in gone and target not in gone:
+            out.append((source, target))
+            gone.add(target)
+    return pa.table({"canonical": pa.array([x for x, _ in out], pa.string()), "merged": pa.array([x for _, x in out], pa.string())})
+
+
+def greedy_merges(decisions: DataFrame, together: int = TOGETHER) -> DataFrame:
     """(canonical, merged): the merges that processing sources in order of id would make in one pass.
 
-    A source acts only if nothing merged it away before. In each round a pair acts if no earlier open source can still merge
-    either end and its target, if an earlier source, has acted itself; the least source always can. Rounds needed are the
-    length of the longest chain of dependent pairs.
+    A source acts only if nothing merged it away before, and merges each target that is still there. Components of linked
+    entities don't touch each other, so one of up to ``together`` merges is decided by one task, in order. Larger ones go
+    through rounds in which a pair acts if no earlier open source can still merge either end and its target, if an earlier
+    source, has acted itself; the least source always can. They fall apart on the way. Nulls and pairs with oneself don't count.
     """
+    from .graph import connected_components, settled
+
+    merges = decisions.filter("outcome = 'auto_merge' and source_id <> target_id").select("source_id", "target_id")
+    # An entity that no earlier one can merge acts. What it is the first to take is gone, and acts no more if it comes later:
+    # in a large group that alone leaves little, and the group's pairs are never written.
+    first = settled(merges.groupBy(F.col("target_id").alias("t")).agg(F.min("source_id").alias("by")))
+    late = first.filter("by < t").select(F.col("t").alias("by"))
+    taken = settled(first.join(late, "by", "left_anti"))
+    dead = taken.filter("by < t").select(F.col("t").alias("source_id"))
+    open_ = settled(merges.join(taken.select(F.col("t").alias("target_id")), "target_id", "left_anti").join(dead, "source_id", "left_anti").distinct())
+    done = taken.select(F.col("by").alias("canonical"), F.col("t").alias("merged"))
+    while not open_.isEmpty():
+        of = connected_components(open_, "source_id", "target_id").toDF("source_id", "component")
+        rows = settled(open_.join(of, "source_id"))
+        sizes = rows.groupBy("component").agg((F.count("*") <= together).alias("small"))
+        tasks = 1 + 4 * rows.count() // together
+        rows = rows.join(sizes, "component").withColumn("task", F.pmod(F.xxhash64("component"), F.lit(tasks)))
+        small = rows.filter("small").groupBy("task").applyInArrow(_in_order, "canonical string, merged string")
+        done = settled(done.unionByName(small))
+        open_ = settled(rows.filter("not small").select("source_id", "target_id"))
+        for _ in range(8):  # a round takes a pair out at least
+            if open_.isEmpty():
+                break
+            acting, open_ = _round(open_)
+            done = settled(done.unionByName(acting.toDF("canonical", "merged")))
+    return done
+
+
+def _round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs that act now, and the open ones left."""
     from .graph import settled
 
-    open_ = settled(decisions.filter("outcome = 'auto_merge' and source_id <> target_id").select("source_id", "target_id").distinct())
-    done = open_.limit(0)
-    while not open_.isEmpty():  # each round takes a pair out at least
-        first = open_.groupBy(F.col("target_id").alias("t")).agg(F.min("source_id").alias("by"))
-        threatened = first.filter("by < t").select(F.col("t").alias("id"))
-        sources = open_.select(F.col("source_id").alias("id")).distinct()
-        acting = open_.join(threatened, F.col("source_id") == F.col("id"), "left_anti").join(first, (F.col("target_id") == F.col("t")) & (F.col("source_id") == F.col("by")), "left_semi")
-        acting = settled(acting.join(sources, (F.col("target_id") == F.col("id")) & (F.col("target_id") < F.col("source_id")), "left_anti"))
-        gone = acting.select(F.col("target_id").alias("id"))
-        done = settled(done.union(acting))
-        open_ = settled(open_.join(gone, F.col("source_id") == F.col("id"), "left_anti").join(gone, F.col("target_id") == F.col("id"), "left_anti"))
-    return done.select(F.col("source_id").alias("canonical"), F.col("target_id").alias("merged"))
+    first = open_.groupBy(F.col("target_id").alias("t")).agg(F.min("source_id").alias("by"))
+    threatened = first.filter("by < t").select(F.col("t").alias("id"))
+    sources = open_.select(F.col("source_id").alias("id")).distinct()
+    acting = open_.join(threatened, F.col("source_id") == F.col("id"), "left_anti").join(first, (F.col("target_id") == F.col("t")) & (F.col("source_id") == F.col("by")), "left_semi")
+    acting = settled(acting.join(sources, (F.col("target_id") == F.col("id")) & (F.col("target_id") < F.col("source_id")), "left_anti"))
+    gone = acting.select(F.col("target_id").alias("id"))
+    return acting, settled(open_.join(gone, F.col("source_id") == F.col("id"), "left_anti").join(gone, F.col("target_id") == F.col("id"), "left_anti"))

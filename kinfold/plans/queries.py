@@ -117,7 +117,7 @@ def _bm25(limit: int, where: str = "a.id <> i.id", floor: str = "TRUE") -> str:
 @query("bm25_topk", f"WITH {A}, docs AS (SELECT id, {QUERY_TEXT} AS text, country FROM prepared WHERE country IS NOT NULL), q AS (SELECT * FROM docs), {_bm25(5)} SELECT source_id, target_id, score, place FROM found")
 def bm25_topk(spark, d):
     docs = _authorities(spark, d).filter("country is not null").select("id", N.query_text(F.col("name")).alias("text"), "country")
-    return fulltext.retrieve(docs, docs, 5, S.fulltext_max_df, ["country"])
+    return fulltext.retrieve(docs, docs, 5, ["country"], max_df=S.fulltext_max_df)
 
 
 FORMS = "(?:\\b(?:" + "|".join(f for f in N.SHORT_FORMS if f.isascii()) + ")\\.?\\b)"
@@ -249,7 +249,7 @@ def _found(spark, d) -> DataFrame:
 
 
 def _decided(spark, d, enabled: bool = True) -> DataFrame:
-    return engine.decide(_found(spark, d), Settings(auto_merge_enabled=enabled))
+    return engine.decide(_found(spark, d), Settings(auto_merge_enabled=enabled), MATCH_RULES)
 
 
 SHOWN = "source_id, target_id, rule, priority, round(confidence, 6) AS confidence, conflict, conflict_property, decided, outcome"
@@ -276,11 +276,10 @@ SUMMARY = "summary AS (SELECT ids_asked.id, coalesce(n, 0) AS decisions_count, c
 
 
 def _summary(spark, d) -> tuple[DataFrame, DataFrame]:
-    found = _found(spark, d)
-    decisions = engine.decide(found, Settings(auto_merge_enabled=True))
+    judged = engine.judge(_found(spark, d), Settings(auto_merge_enabled=True), MATCH_RULES)
     companies = D.companies(spark, d)
     ids = companies.select("id").union(spark.createDataFrame([("missing",)], "id string"))
-    return engine.run_summary(ids, companies, decisions, found), decisions
+    return engine.run_summary(ids, companies, judged), judged.filter(~F.col("skipped"))
 
 
 @query("run_summary", f"WITH {_sql_decisions(True)}, {ASKED}, {SUMMARY} SELECT * FROM summary")
