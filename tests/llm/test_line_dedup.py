@@ -82,3 +82,59 @@ def test_native(spark, sf_dir):
                 own[x] = own.get(x, 0) + 1
             assert all(x in seen or own[x] > 1 for x in gone)
         seen.update(p)
+
+
+def brute(rows, min_words):
+    """Deletes from each text the runs of pieces, maximal by alignment, that an earlier text holds or the same one before, if long enough."""
+    texts = [(i, [p for p in CUT.split(t or "")]) for i, t in rows]
+    bare = [[p.strip(" \t\r\n\x0b\f") for p in ps] for _, ps in texts]
+    out = []
+    for k, (_, pieces) in enumerate(texts):
+        gone = [False] * len(pieces)
+        for j in range(k + 1):
+            for far in range(-len(bare[j]) + 1, len(pieces)):
+                if j == k and far <= 0:
+                    continue
+                i = max(far, 0)
+                while i < len(pieces) and i - far < len(bare[j]):
+                    n = i
+                    while n < len(pieces) and n - far < len(bare[j]) and bare[k][n] == bare[j][n - far]:
+                        n += 1
+                    if n > i and sum(len(x.split()) for x in bare[k][i:n]) >= min_words and any(bare[k][i:n]):
+                        gone[i:n] = [True] * (n - i)
+                    i = max(n, i + 1)
+        out.append("".join(p for p, g in zip(pieces, gone, strict=True) if not g))
+    return out
+
+
+def test_runs_equal_brute_force_and_stay_aligned(spark):
+    rng = random.Random(6)
+    a, b, c, d = (sentence(rng, 9) for _ in range(4))
+    # No earlier text has the run ABCD, and its pairs are short of 25 words each: nothing goes.
+    rows = [(1, a + b), (2, b + c), (3, c + d), (4, a + b + c + d)]
+    assert [r[1] for r in run(spark, rows)] == [t for _, t in rows]
+    # Passages of fresh sentences, each planted whole in several texts, between own ones of any length.
+    passages = ["".join(sentence(rng, rng.choice((3, 9, 14, 30))) for _ in range(rng.randrange(1, 8))) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        parts = [sentence(rng, rng.randrange(1, 25)) for _ in range(rng.randrange(0, 6))] + rng.sample(passages, rng.randrange(0, 3))
+        rng.shuffle(parts)
+        rows.append((i, "".join(parts).strip() or None))
+    assert [r[1] or "" for r in run(spark, rows)] == brute(rows, 25)
+
+
+def test_every_repeated_line_goes_without_a_least_length(spark):
+    rows = [(1, "One here.\nAll rights reserved.\n"), (2, "Two there.\nAll rights reserved.\n"), (3, "All rights reserved.\nno\nno\n\n")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=0)
+    assert sorted((r[0], r[1]) for r in out.collect()) == [(1, rows[0][1]), (2, "Two there.\n"), (3, "no\n\n")]
+
+
+def test_hot_route_gives_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    passage = "".join(sentence(rng) for _ in range(5))
+    rows = [(i, sentence(rng, 7) + passage * (1 + i % 2) + sentence(rng, 4)) for i in range(40)]
+    plain = run(spark, rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    every = [r["g"] for r in line_dedup.fingerprints(df, "doc_id", "text").select("g").distinct().collect()]
+    monkeypatch.setattr(line_dedup, "_hot", lambda *a: every[::2])
+    assert run(spark, rows) == plain
