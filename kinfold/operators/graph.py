@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once into the shared checkpoint folder; its lineage ends there, so a lost executor recomputes nothing."""
+    """df computed once into the shared checkpoint folder; its lineage ends there, so a lost executor recomputes nothing.
+
+    Only a session of one machine may do without spark.checkpoint.dir.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinfold-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinfold-"))
     return df.checkpoint()
 
 
@@ -30,16 +39,51 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return below.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, left: str = "src", right: str = "dst", rounds: int = 50) -> DataFrame:
+#: Links that one task joins up by itself; more go through rounds over the whole table. It steers work, never a result.
+WHOLE = 200_000
+
+
+def least_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of the nodes 0 to n - 1 the least one reachable by the links (u, v)."""
+    label = np.arange(n)
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+    return label
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = list(batches)
+    if not parts:
+        return
+    kind = parts[0].schema.field(0).type
+    sides = [[x for b in parts for x in b.column(c).to_pylist()] for c in (0, 1)]
+    nodes, at = np.unique(np.array(sides[0] + sides[1], object if pa.types.is_string(kind) else None), return_inverse=True)
+    label = least_labels(at[: len(sides[0])], at[len(sides[0]) :], len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes.tolist(), kind), pa.array(nodes[label].tolist(), kind)], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, left: str = "src", right: str = "dst", whole: int = WHOLE) -> DataFrame:
     """(node, component) for every node of a link between two nodes; component is the least node reachable.
 
     Undirected; self-links, nulls and repeated links are ignored. A hub is never gathered in one task: minima are partial
-    aggregates and the joins that follow can be split. Each round is checkpointed.
+    aggregates and the joins that follow can be split. Each round is checkpointed. Up to ``whole`` links are joined up by one task.
     """
     low, high = F.least(left, right), F.greatest(left, right)
     now = settled(edges.filter(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right))).select(high.alias("u"), low.alias("v")).distinct())
+    if now.count() <= whole:
+        kind = now.schema["u"].dataType.simpleString()
+        return settled(now.coalesce(1).mapInArrow(_joined_up, f"node {kind}, component {kind}"))
     seen = None
-    for _ in range(rounds):
+    while True:  # ends: each round lowers some label
         # A forest of stars is a fixed point: no node is both a leaf and a centre, and no leaf has two centres.
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
