@@ -101,7 +101,7 @@ def _words(n, node, doc, hashed):
 
 def _pack(key, node, band, slack) -> bytes:
     """key is sorted and kept to 56 bits; nodes, bands and slacks go to a table of the distinct ones."""
-    member = np.stack([node.view(np.int64), band * (1 << 32) + np.maximum(slack, 0)], 1)
+    member = np.stack([node.view(np.int64), band.astype(np.int64) * (1 << 32) + np.maximum(slack, 0)], 1)
     table, at = np.unique(member, axis=0, return_inverse=True)
     raw = np.int64([len(key), len(table)]).tobytes() + planes(np.diff(key >> U64(8), prepend=U64(0))) + planes(at.reshape(-1).astype(np.uint32)) + planes(np.ascontiguousarray(table).reshape(-1))
     return squeeze(raw)
@@ -116,21 +116,37 @@ def _unpack(blob: bytes):
     return key, table[at, 0], table[at, 1]
 
 
+#: Parity words that a task holds before it packs them: fewer, larger packs say the same in fewer bytes.
+HELD = 3_000_000
+
+
 def _packed(docs: DataFrame, text: str, width: int, buckets: int) -> DataFrame:
     """Parity words by range of the key, packed to a few bytes each: what the pigeonhole join shuffles."""
 
     def run(batches):
-        for b in slices(batches, text, 4_000_000):
-            n, node, doc, hashed, _ = sets(b, text, width)
-            if (w := _words(n, node, doc, hashed)) is None:
-                continue
-            order = np.argsort(w[0], kind="stable")
-            key, node, band, slack = (x[order] for x in w)
+        held, size = [], 0
+
+        def flush():
+            key, node, band, slack = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key, kind="stable")
+            key, node, band, slack = key[order], node[order], band[order], slack[order]
             # The bucket is the key's place among `buckets` equal ranges, so each bucket is one slice.
             bucket = ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(cut[1:], len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array([_pack(key[i:j], node[i:j], band[i:j], slack[i:j]) for i, j in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "words"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array([_pack(key[i:j], node[i:j], band[i:j], slack[i:j]) for i, j in zip(cut, ends, strict=True)], pa.binary())], ["bucket", "words"])
+
+        for b in slices(batches, text, 4_000_000):
+            n, node, doc, hashed, _ = sets(b, text, width)
+            if (w := _words(n, node, doc, hashed)) is None:
+                continue
+            held.append((w[0], w[1], w[2].astype(np.int32), w[3].astype(np.int32)))
+            size += len(w[0])
+            if size > HELD:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
 
     return docs.select(text).mapInArrow(run, "bucket long, words binary")
 
@@ -308,7 +324,7 @@ def _across(docs: DataFrame, members: DataFrame, text: str, width: int, percent:
 def links(docs: DataFrame, text: str = "text", width: int = 5, hot: int = 8) -> DataFrame:
     """Links (a, b) between nodes whose components are those of all links with Jaccard >= 0.8."""
     percent = 80
-    buckets = 4 * partitions(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
     met = settled(_packed(docs, text, width, buckets).groupBy("bucket").applyInArrow(_meet(hot), "kind int, a long, b long, info long, n long").groupBy("kind", "a", "b", "info").agg(F.sum("n").alias("n")))
     band, slack = F.shiftright("info", 32), F.col("info").bitwiseAND(F.lit((1 << 32) - 1))
     members = met.filter("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("node"), band.alias("band"), slack.alias("slack"))
