@@ -14,6 +14,7 @@ are never gathered but joined.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import partitions, written
-from ._text import U64, Tokens, column_bytes, mix, planes, slices, squeeze, tokens, unplanes, unsqueeze
+from ._text import U64, Hasher, Tokens, column_bytes, mix, planes, slices, squeeze, tokens, unplanes, unsqueeze
 
 #: Words of less than this share of all tokens are joined even if seen SYMBOL_COUNT times, and lumped in contexts (0: none).
 FREQUENT_SHARE = 0.0
@@ -46,20 +47,58 @@ class Packed:
     """Arrays are pickled packed; counts are whole quarters, so their differences are exact."""
 
     def __getstate__(self) -> dict:
-        return {k: _packed(x) if isinstance(x, np.ndarray) else x for k, x in self.__dict__.items()}
+        return {k: _packed(x) if isinstance(x, np.ndarray) else x for k, x in self.__dict__.items() if k != "_pairs"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update({k: _unpacked(*x) if isinstance(x, tuple) else x for k, x in state.items()})
 
 
-@dataclass
-class Level(Packed):
-    """Contexts of one length: kept (context, symbol) keys in order with discounted counts; of each context its total (0: not kept) and freed mass."""
+class Level:
+    """Contexts of one length, kept packed as the tasks made them, by range of the context; opened where they are used.
+
+    keys: kept (context, symbol) in order; counts: theirs, discounted; total: of each context (0: not kept); mass: what the
+    discount and the dropped symbols free.
+    """
 
-    keys: np.ndarray
-    counts: np.ndarray
-    total: np.ndarray
-    mass: np.ndarray
+    def __init__(self, packs: list[bytes], n_contexts: int, rare: int):
+        self.packs, self.n_contexts, self.rare, self._open = packs, n_contexts, rare, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_open": None}
+
+    def parts(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """(context, total, key, count) of each pack."""
+        for pack in self.packs:
+            raw = unsqueeze(pack)
+            n, m = (int(x) for x in raw[:16].view(np.int64))
+            at = [16 + 8 * n, 16 + 16 * n, 16 + 16 * n + 8 * m]
+            yield np.cumsum(unplanes(raw[16:], n, np.int64)), unplanes(raw[at[0] :], n, np.int64), np.cumsum(unplanes(raw[at[1] :], m, np.int64)), unplanes(raw[at[2] :], m, np.uint32)
+
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        if self._open is None:
+            total, keys, counts = np.zeros(self.n_contexts), [np.zeros(0, np.int64)], [np.zeros(0)]
+            for context, t, k, c in self.parts():
+                total[context] = t
+                keys.append(k)
+                counts.append(c - DISCOUNT)
+            k, c = np.concatenate(keys), np.concatenate(counts)
+            mass = total - np.bincount(k // (self.rare + 1), weights=c, minlength=self.n_contexts)
+            self._open = (k, c, total, mass) if len(k) else (np.full(1, -1), np.zeros(1), total, mass)
+        return self._open
+
+    keys = property(lambda self: self._arrays()[0])
+    counts = property(lambda self: self._arrays()[1])
+    total = property(lambda self: self._arrays()[2])
+    mass = property(lambda self: self._arrays()[3])
+
+    def extended(self) -> Iterator[np.ndarray]:
+        """Keys (symbol, symbol) of the contexts of one word more: often enough, and closed under suffixes."""
+        kept = np.zeros(self.n_contexts + 1, bool)
+        for context, *_ in self.parts():
+            kept[context] = True
+        for _, _, key, count in self.parts():
+            s = key % (self.rare + 1)
+            yield key[(count - DISCOUNT >= CONTEXT_COUNT) & (s < self.rare) & kept[s]]
 
 
 @dataclass
@@ -72,7 +111,14 @@ class Tree(Packed):
     count: np.ndarray  # of each
     rare: int
     levels: list[Level]
-    pairs: np.ndarray  # keys (symbol, symbol) of the two-word contexts, in order; their place is the context's number
+    n_pairs: int  # contexts of two words
+
+    @property
+    def pairs(self) -> np.ndarray:
+        """Keys (symbol, symbol) of the two-word contexts, in order; their place is the context's number."""
+        if "_pairs" not in self.__dict__:
+            self._pairs = np.concatenate([np.zeros(0, np.int64), *self.levels[0].extended()]) if self.n_pairs else np.zeros(0, np.int64)
+        return self._pairs
 
     @property
     def unknown(self) -> float:
@@ -166,9 +212,9 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def _grown(docs: DataFrame, tree: Tree, text: str) -> Level:
     """The next level of the tree: counts of (context, symbol) by context, then the divergence test beside the data."""
     depth = len(tree.levels)
-    n_contexts = tree.rare if depth == 0 else len(tree.pairs)
+    n_contexts = tree.rare if depth == 0 else tree.n_pairs
     if not n_contexts:
-        return Level(np.zeros(1, np.int64), np.zeros(1), np.zeros(0), np.zeros(0))
+        return Level([], 0, tree.rare)
     context = docs.sparkSession.sparkContext
     held = context.broadcast(tree)
     buckets = 2 * partitions(docs.sparkSession)
@@ -223,23 +269,16 @@ def _grown(docs: DataFrame, tree: Tree, text: str) -> Level:
         gain = np.add.reduceat(c * np.log(share / np.maximum(p, 1e-300)), first)  # count * KL
         good = gain >= DIVERGENCE
         keep = np.repeat(good, np.diff(np.append(first, len(c)))) & (c >= PAIR_COUNT)
-        number = np.concatenate((ctx[first][good], ctx[keep]))
-        symbol = np.concatenate((np.full(int(good.sum()), -1), s[keep]))
-        return pa.table({"context": pa.array(number, pa.int64()), "symbol": pa.array(symbol, pa.int64()), "c": pa.array(np.concatenate((total[good], c[keep])).astype(np.int64))})
+        head = np.int64([good.sum(), keep.sum()]).tobytes()
+        body = planes(np.diff(ctx[first][good], prepend=0)) + planes(total[good].astype(np.int64)) + planes(np.diff(keys[keep], prepend=0)) + planes(c[keep].astype(np.uint32))
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "pack": pa.array([squeeze(head + body)], pa.binary())})
 
-    rows = docs.select(text).mapInArrow(count, "bucket long, pairs binary").groupBy("bucket").applyInArrow(test, "context long, symbol long, c long").toArrow()
-    ctx, s, c = (np.asarray(rows.column(x)) for x in ("context", "symbol", "c"))
+    # What is gathered stays packed; it is opened only by the tasks that look into it.
+    packs = docs.select(text).mapInArrow(count, "bucket long, pairs binary").groupBy("bucket").applyInArrow(test, "bucket long, pack binary").toLocalIterator()
+    level = Level([bytes(r["pack"]) for r in sorted(packs, key=lambda r: r["bucket"])], n_contexts, tree.rare)
     held.destroy()
     root.destroy()
-    total, mass = np.zeros(n_contexts), np.zeros(n_contexts)
-    total[ctx[s < 0]] = c[s < 0]
-    own = s >= 0
-    order = np.argsort(ctx[own] * (tree.rare + 1) + s[own])
-    keys, kept = (ctx[own] * (tree.rare + 1) + s[own])[order], c[own][order] - DISCOUNT
-    mass[:] = total - np.bincount(ctx[own][order], weights=kept, minlength=n_contexts)
-    if not len(keys):
-        keys, kept = np.full(1, -1), np.zeros(1)
-    return Level(keys, kept, total, mass)
+    return level
 
 
 def least_count(n: int) -> float:
@@ -255,22 +294,19 @@ def train(docs: DataFrame, text: str = "text", depth: int = 2) -> tuple[Tree, Da
     words, c = np.asarray(top.column("word")).view(U64), np.asarray(top.column("c"))
     order = np.argsort(words)
     words, c = words[order], c[order]
-    tree = Tree(n, v, once, words, np.arange(len(words)), c, len(words), [], np.zeros(0, np.int64))
+    tree = Tree(n, v, once, words, np.arange(len(words)), c, len(words), [], 0)
     if depth >= 1:
         tree.levels.append(_grown(docs, tree, text))
     if depth >= 2 and len(words):
-        one = tree.levels[0]
-        s = one.keys % (tree.rare + 1)
-        good = (one.keys >= 0) & (one.counts >= CONTEXT_COUNT) & (s < tree.rare)
-        good &= one.total[np.minimum(s, len(words) - 1)] > 0  # the tree is closed under suffixes
-        tree.pairs = one.keys[good]
+        tree.n_pairs = sum(len(x) for x in tree.levels[0].extended())
         tree.levels.append(_grown(docs, tree, text))
     return tree, counts
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of each id; rows that repeat an id count together.
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of each row; rows that repeat an id are scored apart, null and empty texts alike.
 
+    Rows are told apart by id and a hash of the text; those that repeat both have one sum, which is shared among them.
     The tree's words are scored where the text is read; the others go to the table of counts by one join on the word.
     """
     held = docs.sparkSession.sparkContext.broadcast(tree)
@@ -293,30 +329,34 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
             size = b.num_rows
             n = np.bincount(doc, minlength=size)
             ids = b.column(id_col)
+            texts = column_bytes(b.column(text))
+            own = pa.array(mix(Hasher(texts.data).ranges(texts.offsets[:-1], texts.offsets[1:])).view(np.int64))
             main = [np.bincount(doc[here], minlength=size), np.bincount(doc[here], weights=known[at[here]], minlength=size).astype(float), np.bincount(doc, weights=value, minlength=size).astype(float)]
             far = ~here
             order = np.lexsort((h[far], doc[far]))
             d, w = doc[far][order], h[far][order]
             new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])))) if len(d) else np.zeros(0, np.int64)
             times = np.diff(np.append(new, len(d)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(mix(np.arange(size, dtype=U64) + U64(len(h))).view(np.int64)), pa.array(n), *map(pa.array, (main[0].astype(np.int64), main[1], main[2])), pa.array(np.zeros(size, bool))], names)
+            yield pa.RecordBatch.from_arrays([ids, own, pa.array(mix(np.arange(size, dtype=U64) + U64(len(h))).view(np.int64)), pa.array(n), *map(pa.array, (main[0].astype(np.int64), main[1], main[2])), pa.array(np.zeros(size, bool))], names)
             zero = np.zeros(len(new))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(d[new])), pa.array(w[new].view(np.int64)), pa.array(times), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.array(np.ones(len(new), bool))], names)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(d[new])), own.take(pa.array(d[new])), pa.array(w[new].view(np.int64)), pa.array(times), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.array(np.ones(len(new), bool))], names)
 
-    names = ["id", "word", "n", "known", "base", "value", "far"]
-    parts = docs.select(F.col(id_col).alias(id_col), text).mapInArrow(run, f"id {kind}, word long, n long, known long, base double, value double, far boolean")
+    names = ["id", "own", "word", "n", "known", "base", "value", "far"]
+    parts = docs.select(F.col(id_col).alias(id_col), text).mapInArrow(run, f"id {kind}, own long, word long, n long, known long, base double, value double, far boolean")
     rare_words = counts.filter(F.col("c") < least_count(tree.n)).select("word", "c")
     joined = parts.join(rare_words, "word", "left")
     n, c = F.col("n"), F.coalesce("c", F.lit(0))
     seen = F.col("far") & F.col("c").isNotNull()
     own = F.when(seen, F.log10(F.lit((1 - tree.unknown) / max(tree.n, 1)) * c)).otherwise(F.lit(float(np.log10(tree.unknown))))
-    sums = joined.groupBy("id").agg(
+    sums = joined.groupBy("id", "own").agg(
+        F.count_if(~F.col("far")).alias("rows"),
         F.sum(F.when(F.col("far"), 0).otherwise(n)).alias("n_tokens"),
         F.sum(F.when(seen, n).otherwise(F.when(F.col("far"), 0).otherwise(F.col("known")))).alias("n_known"),
         F.sum(F.when(F.col("far"), n * F.log10(c + 0.5)).otherwise(F.col("base"))).alias("base"),
         F.sum(F.when(F.col("far"), n * own).otherwise(F.col("value"))).alias("value"),
     )
     whole = float(np.log10(tree.n + 0.5 * (tree.v + 1)))
+    sums = sums.select("id", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))), *[(F.col(c) / F.col("rows")).alias(c) for c in ("base", "value")], *[F.expr(f"{c} div rows").alias(c) for c in ("n_tokens", "n_known")])
     return sums.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * whole).alias("base_score"), F.col("value").alias("score"))
 
 

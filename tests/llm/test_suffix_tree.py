@@ -68,11 +68,13 @@ def test_distributions_sum_to_one(spark):
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "A a"), (3, "a"), (4, "b " * 50_000), (None, "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash")).withColumn("c", F.lit(1))
-    out = {r["doc_id"]: r for r in suffix_tree.learn_and_score(df, F.lit(False)).collect()}
-    assert {k: r["n_tokens"] for k, r in out.items()} == {1: 1, 2: 1, 3: 5, 4: 50_001, None: 2}
+    df = df.union(df.filter("doc_id = 1"))  # a row that repeats both id and text
+    out = suffix_tree.learn_and_score(df, F.lit(False)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in out) == [(0, 2), (1, 1), (1, 1), (2, 1), (3, 2), (3, 3), (4, 50_001)]
+    assert len({(r["base_score"], r["score"]) for r in out if r["doc_id"] in (1, 2)}) == 1
     assert suffix_tree.learn_and_score(df.limit(0), F.lit(False)).count() == 0
     none = suffix_tree.learn_and_score(df, F.lit(True)).collect()
-    assert len(none) == 5 and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in none)
+    assert len(none) == 7 and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in none)
 
 
 def test_what_is_kept_does_not_depend_on_the_size_of_the_corpus(spark):
