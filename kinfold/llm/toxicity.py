@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 3).
 
-Confirmed toxic rows are the positives; every other training text, whatever its label, is unlabelled. A linear numpy
+Confirmed toxic rows are the positives; a draw from all training texts, whatever their label, is unlabelled. A linear numpy
 classifier over the presence of word and word-prefix features minimises the class-prior-corrected risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
@@ -23,7 +23,7 @@ from ._text import U64, Hasher, column_bytes, distinct, lowered, slices, spans
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12_000
 #: At most so many features get a weight: those met in most positives, then those that tell most.
 MAX_CANDIDATES, MAX_FEATURES = 60_000, 4000
-#: Least estimated share of toxic texts among those with a feature.
+#: Least estimated odds of toxic texts among those with a feature.
 EVIDENCE = 0.7
 #: Bytes of the word prefixes that count as features beside the word itself; they catch inflected forms.
 PREFIXES = (4, 5, 6)
@@ -98,13 +98,15 @@ def nnpu(row: np.ndarray, column: np.ndarray, positive: np.ndarray, n_columns: i
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """The model learnt from the rows of ``docs`` for which ``learn`` holds; None without a confirmed toxic one.
 
+    The unlabelled sample is drawn from all of them, positives too, as the risk has it. An id with labels that differ counts
+    as toxic; rows that repeat an id are all taken; ties in the sample's hash go to the lower id; null ids aren't learnt from.
     Only bounded things come to the driver: the candidate features and the weights. The sample is fitted in one task.
     """
-    marks = labels.groupBy(id_col).agg(F.max(label).alias("_y"), F.min(label).alias("_low"))
+    marks = labels.groupBy(id_col).agg(F.max(label).alias("_y"))
     rows = docs.filter(learn).select(id_col, text)
     ids = rows.select(id_col).filter(F.col(id_col).isNotNull()).distinct().join(marks, id_col, "left")
     order = F.xxhash64(id_col, F.lit(3))
-    chosen = [ids.filter(kind).select(id_col, F.lit(p).alias("_p")).orderBy(order, id_col).limit(most) for p, kind, most in ((1, F.col("_y") == 1, MAX_POSITIVE), (0, F.coalesce(F.col("_y") != 1, F.lit(True)), MAX_UNLABELLED))]
+    chosen = [ids.filter(kind).select(id_col, F.lit(p).alias("_p")).orderBy(order, id_col).limit(most) for p, kind, most in ((1, F.col("_y") == 1, MAX_POSITIVE), (0, F.lit(True), MAX_UNLABELLED))]
     share = ids.agg(F.avg(F.when(F.col("_y").isNotNull(), (F.col("_y") == 1).cast("double"))).alias("share"), F.avg((F.col("_y") == 1).cast("double"))).first()["share"]
     if not share:
         return None
@@ -141,8 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         in_p = np.bincount(column[positive[row]], minlength=len(keys))
         in_u = np.bincount(column, minlength=len(keys)) - in_p
         # By Bayes, prior * p / u is the share of toxic texts among those with the feature; keep what points to toxic ones.
+        # u is drawn from all texts, so it holds the toxic ones too.
         p, u = (in_p + 0.5) / (positive.sum() + 1), (in_u + 1.0) / ((~positive).sum() + 1)
-        gain = np.where(prior * p / u >= EVIDENCE, in_p * np.log(p / u), -1.0)
+        gain = np.where(prior * p / u >= EVIDENCE / (1 + EVIDENCE), in_p * np.log(p / u), -1.0)
         kept = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
         kept = np.sort(kept[gain[kept] > 0])
         place = np.full(len(keys), -1)
