@@ -34,6 +34,12 @@ def _letters() -> np.ndarray:
     return np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)])
 
 
+@cache
+def _marks() -> np.ndarray:
+    """Whether a code point is a mark: of a word, but no letter."""
+    return np.array([unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)])
+
+
 @dataclass
 class Words:
     """Letters of several texts with one 0 after each word; word k is [start[k], end[k]) of them, in text doc[k]."""
@@ -56,6 +62,13 @@ def words(texts: list[str | None]) -> Words:
     codes = np.where(inside, codes, 0)[keep]
     border = np.flatnonzero(codes == 0)
     start = np.concatenate(([0], border[:-1] + 1)) if len(border) else border
+    if len(start):  # a run of marks alone is no word
+        real = np.add.reduceat(~_marks()[codes] & (codes != 0), start) > 0
+        if not real.all():
+            codes = codes[np.repeat(real, border - start + 1)]
+            doc = doc[real]
+            border = np.flatnonzero(codes == 0)
+            start = np.concatenate(([0], border[:-1] + 1)) if len(border) else border
     script = _CODES[np.searchsorted(_STARTS, codes[start], "right")] if len(start) else start
     return Words(codes, start, border, doc, script)
 
@@ -120,7 +133,8 @@ class Model:
         return out, np.where(total > 0, top / np.maximum(total, 1), 0.0)
 
 
-#: Words that one pass of the Viterbi recursion covers. With more languages than MANY, texts are not cut.
+#: Words that one pass of the Viterbi recursion covers. With more languages than MANY, texts are not cut: a table of pairs of
+#: labels would cost more than it saves, and one step holds a label for each word and language only.
 WINDOW, MANY = 256, 12
 
 
@@ -133,7 +147,7 @@ def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, switch: float = SWI
     """
     n, k = score.shape
     if k > MANY:
-        window = max(n, 1)
+        return _uncut(score, doc, n_docs, switch)
     count = np.bincount(doc, minlength=n_docs)
     parts = -(-count // window)
     first_part = np.concatenate(([0], np.cumsum(parts)))
@@ -193,8 +207,34 @@ def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, switch: float = SWI
     return label
 
 
-def _pieces(batches, text: str):
-    return slices(batches, text, 1_500_000)
+def _uncut(score: np.ndarray, doc: np.ndarray, n_docs: int, switch: float) -> np.ndarray:
+    """The same labelling by one recursion over each text, all texts stepping at once; memory is words times languages."""
+    n, k = score.shape
+    count = np.bincount(doc, minlength=n_docs)
+    order = np.argsort(-count, kind="stable")
+    begin = np.concatenate(([0], np.cumsum(count)[:-1]))[order]
+    alive = np.searchsorted(-count[order], -np.arange(1, (count.max() if n else 0) + 1), "right")
+    came = np.empty((n, k), np.int16)
+    value = np.zeros((n_docs, k))
+    for t, m in enumerate(alive):
+        at, v = begin[:m] + t, value[:m]
+        top = v.argmax(1)
+        jump = v[np.arange(m), top][:, None] - (switch if t else 0)
+        came[at] = np.where(v >= jump, np.arange(k), top[:, None])
+        np.maximum(v, jump, out=v)
+        v += score[at]
+        v -= v.max(1, keepdims=True)
+    label = np.empty(n, np.int64)
+    now = value.argmax(1) if n_docs else np.zeros(0, np.int64)
+    for t in range(len(alive) - 1, -1, -1):
+        at = begin[: alive[t]] + t
+        label[at] = now[: alive[t]]
+        now[: alive[t]] = came[at, now[: alive[t]]]
+    return label
+
+
+def _pieces(batches, text: str, langs: int = 4):
+    return slices(batches, text, max(1, 1_500_000 * 4 // max(langs, 4)))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -241,7 +281,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in _pieces(batches, text):
+        for b in _pieces(batches, text, len(held.value.langs)):
             names, share = held.value.predict(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(names, pa.string()), pa.array(share.astype(float))], [id_col, "lang_pred", "score"])
 
@@ -254,7 +294,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in _pieces(batches, text):
+        for b in _pieces(batches, text, len(held.value.langs)):
             w, label = held.value.spans(b.column(text).to_pylist())
             if not len(label):
                 continue

@@ -42,3 +42,23 @@ def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     out = QUERIES["op5_script_viterbi_language"](spark, d).join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").filter("held_out").toPandas()
     assert (out.lang_pred == out.lang).mean() >= 0.97
+
+
+def test_many_languages_give_the_same_labels_as_windows():
+    rng = np.random.default_rng(5)
+    for k in (3, 14):
+        score = rng.normal(size=(700, k)) * 4
+        doc = np.sort(rng.integers(0, 6, 700))
+        a = language._uncut(score, doc, 7, 6.0)
+        many, language.MANY = language.MANY, 99
+        try:
+            b = language.viterbi(score, doc, 7, window=50)
+        finally:
+            language.MANY = many
+        assert a.tolist() == b.tolist()
+
+
+def test_marks_alone_are_no_letters(spark):
+    df = spark.createDataFrame([(1, "the cat", "en"), (2, "\u0301\u0302 \u0301", "en"), (3, None, "fr"), (1, "the cat", "en")], "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "2 AS lang_pred")
+    got = sorted((r["doc_id"], r["lang_pred"]) for r in language.identify(df, language.train(df)).collect())
+    assert got == [(1, "en"), (1, "en"), (2, "und"), (3, "und")]
