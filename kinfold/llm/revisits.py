@@ -37,20 +37,20 @@ def resolve(records: DataFrame, stretch: int = STRETCH) -> DataFrame:
     case). "Earlier" is by (ts, record_id); a record without ts comes before all others and only pairs among its like.
     status: `no_response` if there is none earlier; `mismatch` if a validator that both have differs (ETags compare weakly);
     `resolved` if one agrees; `unchecked` if they share none. headers: merged for resolved and unchecked, else the revisit's
-    own. Rows that repeat a record_id are resolved apart. Null maps count as empty; other kinds are left out.
+    own. Rows that repeat a record_id are resolved apart. A record without URL stands for no other one than of its own id. Null maps count as empty; other kinds are left out.
     """
     fields = ("record_id", "etag", "last_modified", "digest", "headers")
     rows = records.filter(F.col("kind").isin("response", "revisit")).select(
         "record_id", "ts", "kind", "etag", "last_modified", "digest", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"),
-        canonical_url(F.col("url")).alias("canonical_url"), F.coalesce(F.floor(F.col("ts").cast("double") / stretch), F.lit(-(1 << 60))).alias("stretch"),
+        canonical_url(F.col("url")).alias("canonical_url"), F.when(F.col("url").isNull(), F.col("record_id").cast("string")).alias("lone"), F.coalesce(F.floor(F.col("ts").cast("double") / stretch), F.lit(-(1 << 60))).alias("stretch"),
     )
     full = F.when(F.col("kind") == "response", F.struct(*fields))
-    here = Window.partitionBy("canonical_url", "stretch").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("canonical_url", "lone", "stretch").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.last(full, ignorenulls=True).over(here)).filter("kind = 'revisit'")
-    ends = rows.groupBy("canonical_url", "stretch").agg(F.max_by(full, F.when(F.col("kind") == "response", F.struct("ts", "record_id"))).alias("end"))
+    ends = rows.filter("lone is null").groupBy("canonical_url", "stretch").agg(F.max_by(full, F.when(F.col("kind") == "response", F.struct("ts", "record_id"))).alias("end"))
     before = Window.partitionBy("canonical_url").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("canonical_url", "stretch", F.last("end", ignorenulls=True).over(before).alias("far"))
-    joined = near.join(carried, ["canonical_url", "stretch"]).withColumn("r", F.coalesce("near", "far"))
+    joined = near.join(carried, ["canonical_url", "stretch"], "left").withColumn("r", F.coalesce("near", F.when(F.col("lone").isNull(), F.col("far"))))
     both = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), a == b)
     checks = F.array(both(_bare_etag(F.col("etag")), _bare_etag(F.col("r.etag"))), both(F.col("last_modified"), F.col("r.last_modified")), both(F.col("digest"), F.col("r.digest")))
     status = F.when(F.col("r").isNull(), "no_response").when(F.exists(checks, lambda x: x == F.lit(False)), "mismatch").when(F.exists(checks, lambda x: x), "resolved").otherwise("unchecked")
