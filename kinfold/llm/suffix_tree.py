@@ -56,7 +56,7 @@ class Packed:
 class Level:
     """Contexts of one length, kept packed as the tasks made them, by range of the context; opened where they are used.
 
-    keys: kept (context, symbol) in order; counts: theirs, discounted; total: of each context (0: not kept); mass: what the
+    keys: kept (context, symbol) in order; counts: theirs; total: of each context (0: not kept); mass: what the
     discount and the dropped symbols free.
     """
 
@@ -76,14 +76,16 @@ class Level:
 
     def _arrays(self) -> tuple[np.ndarray, ...]:
         if self._open is None:
-            total, keys, counts = np.zeros(self.n_contexts), [np.zeros(0, np.int64)], [np.zeros(0)]
+            size = sum(int(unsqueeze(pack)[8:16].view(np.int64)[0]) for pack in self.packs)
+            keys, counts = np.full(max(size, 1), -1, np.int64), np.zeros(max(size, 1), np.uint32)
+            total, mass, at = np.zeros(self.n_contexts), np.zeros(self.n_contexts), 0
             for context, t, k, c in self.parts():
                 total[context] = t
-                keys.append(k)
-                counts.append(c - DISCOUNT)
-            k, c = np.concatenate(keys), np.concatenate(counts)
-            mass = total - np.bincount(k // (self.rare + 1), weights=c, minlength=self.n_contexts)
-            self._open = (k, c, total, mass) if len(k) else (np.full(1, -1), np.zeros(1), total, mass)
+                mass[context] += t
+                np.subtract.at(mass, k // (self.rare + 1), c - DISCOUNT)
+                keys[at : at + len(k)], counts[at : at + len(k)] = k, c
+                at += len(k)
+            self._open = keys, counts, total, mass
         return self._open
 
     keys = property(lambda self: self._arrays()[0])
@@ -117,7 +119,10 @@ class Tree(Packed):
     def pairs(self) -> np.ndarray:
         """Keys (symbol, symbol) of the two-word contexts, in order; their place is the context's number."""
         if "_pairs" not in self.__dict__:
-            self._pairs = np.concatenate([np.zeros(0, np.int64), *self.levels[0].extended()]) if self.n_pairs else np.zeros(0, np.int64)
+            self._pairs, at = np.zeros(self.n_pairs, np.int64), 0
+            for part in self.levels[0].extended() if self.n_pairs else ():
+                self._pairs[at : at + len(part)] = part
+                at += len(part)
         return self._pairs
 
     @property
@@ -172,7 +177,7 @@ class Tree(Packed):
             a = at[held]
             key = a * (self.rare + 1) + s[held]
             k = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-            c = np.where(level.keys[k] == key, level.counts[k], 0.0)
+            c = np.where(level.keys[k] == key, level.counts[k] - DISCOUNT, 0.0)
             p[held] = (c + level.mass[a] * p[held]) / level.total[a]
         return p
 
