@@ -18,8 +18,8 @@ class Settings:
     #: A vector index may report (1 + cosine) / 2 instead of the cosine.
     embedding_score: str = "raw"
     fulltext_limit: int = 20
-    #: Tokens that more names hold don't retrieve candidates; they count in the scores all the same.
-    fulltext_max_df: int = 500
+    #: Tokens that more names hold are stop words: they neither retrieve nor score. None: there are none.
+    fulltext_max_df: int | None = None
     resolver_min_name: int = 6
     resolver_fulltext_floor: float = 4.0
     #: Leave out of the cluster merge what a reviewer kept apart as related.

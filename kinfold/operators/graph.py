@@ -110,19 +110,27 @@ def cluster_collapse(same_as: DataFrame, entities: DataFrame, exclude_kept: bool
     return members.join(best, "component").select("id", "component", F.col("m.id").alias("canonical"))
 
 
+#: So many of their rarest neighbours must two nodes share to be compared.
+HEADS = 3
+
+
 def node_similarity(neighbours: DataFrame, threshold: float, top_k: int) -> DataFrame:
     """(source_id, target_id, similarity): for each node the top_k others of Jaccard >= threshold over neighbours; ties to the lower id.
 
-    Neighbours are ranked from rare to common; sets with Jaccard >= t share one of the first n - ceil(t * n) + 1, so only
-    those are joined and the common neighbours never make pairs. Candidates are verified on the whole sets.
+    Neighbours are ranked from rare to common; sets with Jaccard >= t share k of the first n - ceil(t * n) + k of each (k up
+    to HEADS, as long as t * n is), so only those are joined, the common neighbours never make pairs, and pairs that share
+    fewer are no candidates. The others are verified on the whole sets.
     """
     edges = neighbours.select("node", "neighbour").distinct()
     degree = edges.groupBy("neighbour").agg(F.count("*").alias("df"))
     ranked = edges.join(degree, "neighbour").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "neighbour"))).alias("s"))
     n = F.size("s")
-    sets = ranked.select("node", F.transform("s", lambda x: x["neighbour"]).alias("set"), n.alias("n"), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int").alias("head"))
-    heads = sets.select("node", "n", F.explode(F.slice("set", F.lit(1), F.col("head"))).alias("neighbour"))
-    pairs = heads.toDF("a", "na", "neighbour").join(heads.toDF("b", "nb", "neighbour"), "neighbour").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    least = F.greatest(F.ceil(F.lit(threshold) * n - 1e-9).cast("int"), F.lit(1))
+    sets = ranked.select("node", F.transform("s", lambda x: F.xxhash64(x["neighbour"])).alias("set"), n.alias("n"), F.least(least, F.lit(HEADS)).alias("k"), (n - least + F.least(least, F.lit(HEADS))).alias("head"))
+    sets = settled(sets)
+    heads = sets.select("node", "n", "k", F.explode(F.slice("set", F.lit(1), F.col("head"))).alias("neighbour"))
+    met = heads.toDF("a", "na", "ka", "neighbour").join(heads.toDF("b", "nb", "kb", "neighbour"), "neighbour").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("ka", "kb")).alias("k")).filter("shared >= k").select("a", "b")
     whole = sets.select("node", "set")
     common = F.size(F.array_intersect("sa", "sb"))
     scored = pairs.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)

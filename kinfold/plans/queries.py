@@ -98,11 +98,11 @@ _rule("name_country_company", rules.name_country_company, _company, f"WITH {C} {
 _rule("name_country_authority", rules.name_country_authority, _authority, f"WITH {A} {_sql_pairs(f'{NAMES} AND a.country = b.country', 'merge', 0.95, False)}")
 _rule("name_any_country", rules.name_any_country, _authority, f"WITH {A} {_sql_pairs(NAMES, 'flag', 0.90, False, 'coalesce(a.country, chr(32)) <> coalesce(b.country, chr(32))')}")
 
-#: BM25 in SQL; sources `q` and `docs` have (id, text, country). Stop words as in the operator.
+#: BM25 in SQL; sources `q` and `docs` have (id, text, country).
 BM25 = """words AS (SELECT id, country, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM docs),
 idx AS (SELECT id, country, len(any_value(w)) AS n, token, count(*) AS tf FROM (SELECT id, country, w, unnest(w) AS token FROM words) GROUP BY id, country, token),
 size AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM words WHERE len(w) > 0),
-idf AS (SELECT token, ln(1 + ((SELECT docs FROM size) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM idx GROUP BY token HAVING count(*) <= {max_df}),
+idf AS (SELECT token, ln(1 + ((SELECT docs FROM size) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM idx GROUP BY token),
 asked AS (SELECT DISTINCT id, country, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS token FROM q),
 total AS (SELECT a.id AS source_id, i.id AS target_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT mean FROM size)))), 6) AS score
   FROM asked a JOIN idx i ON a.token = i.token AND a.country = i.country JOIN idf ON idf.token = i.token WHERE {where} GROUP BY 1, 2),
@@ -111,7 +111,7 @@ QUERY_TEXT = "trim(regexp_replace(translate(name, '+-&|!(){}[]^\"~*?:\\/', '
 
 
 def _bm25(limit: int, where: str = "a.id <> i.id", floor: str = "TRUE") -> str:
-    return BM25.replace("{max_df}", str(S.fulltext_max_df)).replace("{where}", where).replace("{floor}", floor) + f", found AS (SELECT * FROM best WHERE place <= {limit})"
+    return BM25.replace("{where}", where).replace("{floor}", floor) + f", found AS (SELECT * FROM best WHERE place <= {limit})"
 
 
 @query("bm25_topk", f"WITH {A}, docs AS (SELECT id, {QUERY_TEXT} AS text, country FROM prepared WHERE country IS NOT NULL), q AS (SELECT * FROM docs), {_bm25(5)} SELECT source_id, target_id, score, place FROM found")
@@ -490,9 +490,9 @@ def event_dispatch(spark, d):
     return dispatch.route(D.event_log(spark, d))
 
 
-@query("event_due", f"WITH {D.EVENTS} SELECT {LABEL} AS label, entity_id, min(seq) AS first_seq, count(*) AS n_events FROM event_log WHERE event_type IN ('UpsertCompany', 'UpsertFiling', 'UpsertAuthority') AND entity_id IS NOT NULL AND seq <= 900 GROUP BY 1, 2")
+@query("event_due", f"WITH {D.EVENTS} SELECT {LABEL} AS label, entity_id, min(seq) AS first_seq, count(*) AS n_events FROM event_log WHERE event_type IN ('UpsertCompany', 'UpsertFiling', 'UpsertAuthority') AND entity_id IS NOT NULL GROUP BY 1, 2")
 def event_due(spark, d):
-    return dispatch.due(D.event_log(spark, d), upstream=900)
+    return dispatch.due(D.event_log(spark, d))
 
 
 @query("event_dispatch_stream", ORACLES["event_dispatch"])

@@ -25,9 +25,9 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, name, country, lei, cik, vat, registered_as, active, created_at, key)."""
     k = F.col("c_custkey")
     g = F.floor(k / 4)
-    stems = table(spark, sf_dir, "part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("stem"), "p_name")
-    rows = table(spark, sf_dir, "customer").select("c_custkey").withColumn("stem", g % 50 + 1).join(F.broadcast(stems), "stem")  # 50 rows at most
-    stem = F.concat_ws(" ", "p_name", g.cast("string"))
+    stems = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stem"), "p_name")
+    rows = table(spark, sf_dir, "customer").select("c_custkey").withColumn("stem", g).join(stems, "stem", "left")
+    stem = F.concat_ws(" ", F.coalesce("p_name", F.lit("unnamed")), g.cast("string"))
     name = F.when(k % 4 == 0, F.concat(stem, F.lit(" GmbH"))).when(k % 4 == 1, F.concat(F.upper(stem), F.lit(" GMBH."))).when(k % 4 == 2, F.concat(stem, F.lit("x Ltd"))).otherwise(F.concat(stem, F.lit(", S.A.")))
     hashed = F.upper(F.substring(F.md5(F.concat(F.lit("lei"), F.floor(k / 2).cast("string"))), 1, 16))
     lei = F.when(k % 3 != 0, F.concat(F.lpad((g % 7).cast("string"), 4, "5"), F.when(k % 8 == 5, F.lit("0000000000000000")).otherwise(hashed)))
@@ -47,23 +47,27 @@ COMPANIES = """company AS (
          CASE WHEN k % 5 <> 0 THEN 'DE ' || lpad((k // 3)::VARCHAR, 9, '0') END AS vat,
          CASE WHEN k % 7 = 0 THEN 'R' || (k // 14) END AS registered_as,
          k % 4 <> 1 AS active, CASE WHEN k % 9 <> 0 THEN '20' || lpad((k % 25)::VARCHAR, 2, '0') END AS created_at, k AS key
-  FROM (SELECT c_custkey AS k, c_custkey // 4 AS g, p_name || ' ' || (c_custkey // 4) AS stem FROM customer JOIN part ON p_partkey = (c_custkey // 4) % 50 + 1)
+  FROM (SELECT c_custkey AS k, c_custkey // 4 AS g, coalesce(p_name, 'unnamed') || ' ' || (c_custkey // 4) AS stem FROM customer LEFT JOIN part ON p_partkey = c_custkey // 4)
 )"""
 
 
 def authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, name, country, name_lang): a document's first 60 characters up to the line's end, its country by language."""
-    d = F.col("doc_id")
-    first = F.trim(F.regexp_extract(F.substring("text", 1, 60), r"^[^\n]*", 0))
-    by_lang = F.create_map(*[F.lit(x) for x in ("en", "IRL", "fr", "FRA", "de", "DEU", "es", "ESP")])[F.col("lang")]
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("A"), F.lpad(d.cast("string"), 12, "0")).alias("id"), first.alias("name"), F.when(d % 13 == 0, "BEL").otherwise(by_lang).alias("country"), F.when(d % 3 == 0, F.col("lang")).alias("name_lang"))
-
-
-AUTHORITIES = r"""authority AS (
-  SELECT 'A' || lpad(doc_id::VARCHAR, 12, '0') AS id, trim(regexp_extract(substr(text, 1, 60), '^[^\n]*')) AS name,
-         CASE WHEN doc_id % 13 = 0 THEN 'BEL' ELSE CASE lang WHEN 'en' THEN 'IRL' WHEN 'fr' THEN 'FRA' WHEN 'de' THEN 'DEU' WHEN 'es' THEN 'ESP' END END AS country,
-         CASE WHEN doc_id % 3 = 0 THEN lang END AS name_lang
-  FROM documents
+    """(id, name, country, name_lang): one for each part, named by its type and the group of six that its key is in."""
+    k = F.col("p_partkey")
+    group = F.floor(k / 6).cast("string")
+    kind = F.when(k % 5 == 0, F.concat(F.lit("Ministère "), "p_type")).when(k % 5 == 1, F.upper(F.concat(F.lit("Office: "), "p_type"))).otherwise(F.concat(F.lit("Office "), "p_type"))
+    place = F.floor(k / 2) % 4
+    country = F.when(k % 13 == 0, "BEL").when(k % 17 != 0, _pick(("IRL", "FRA", "DEU", "ESP"), place))
+    lang = F.when(k % 3 == 0, _pick(("en", "fr", "de", "es"), place))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("A"), F.lpad(k.cast("string"), 12, "0")).alias("id"), F.concat_ws(" ", kind, group).alias("name"), country.alias("country"), lang.alias("name_lang"))
+
+
+AUTHORITIES = """authority AS (
+  SELECT 'A' || lpad(p_partkey::VARCHAR, 12, '0') AS id,
+         CASE p_partkey % 5 WHEN 0 THEN 'Ministère ' || p_type WHEN 1 THEN upper('Office: ' || p_type) ELSE 'Office ' || p_type END || ' ' || (p_partkey // 6) AS name,
+         CASE WHEN p_partkey % 13 = 0 THEN 'BEL' WHEN p_partkey % 17 <> 0 THEN ['IRL', 'FRA', 'DEU', 'ESP'][((p_partkey // 2) % 4 + 1)::INT] END AS country,
+         CASE WHEN p_partkey % 3 = 0 THEN ['en', 'fr', 'de', 'es'][((p_partkey // 2) % 4 + 1)::INT] END AS name_lang
+  FROM part
 )"""
 
 
@@ -98,16 +102,16 @@ SAME_AS = """same_as AS (
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, neighbour): the parts a company has to do with; the three companies of a group share nine tenths of them."""
+    """(node, neighbour): the parts that a group of three companies has to do with; each has nine tenths of them."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
-    bought = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).filter("k % 3 = 0").select("k", "p").distinct()
+    bought = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("k") - F.col("k") % 3).alias("k"), "p").distinct()
     every = bought.withColumn("m", F.explode(F.array(*[F.lit(i) for i in range(3)]))).filter("(p + m) % 10 <> 0")
     return every.select(F.concat(F.lit("C"), (F.col("k") + F.col("m")).cast("string")).alias("node"), F.concat(F.lit("P"), F.col("p").cast("string")).alias("neighbour"))
 
 
 NEIGHBOURS = """neighbours AS (
   SELECT 'C' || (k + m) AS node, 'P' || p AS neighbour
-  FROM (SELECT DISTINCT o_custkey AS k, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 0), (VALUES (0), (1), (2)) v(m)
+  FROM (SELECT DISTINCT o_custkey - o_custkey % 3 AS k, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey), (VALUES (0), (1), (2)) v(m)
   WHERE (p + m) % 10 <> 0
 )"""
 
