@@ -31,7 +31,9 @@ FREQUENT_SHARE = 0.0
 SYMBOL_COUNT, PAIR_COUNT, CONTEXT_COUNT = 2, 2, 4
 DIVERGENCE, DISCOUNT = 10.0, 0.75
 END = U64(0x5851F42D4C957F2D)
-_FLUSH = 4_000_000
+_FLUSH = 2_000_000
+#: Bytes of text handled at once: a task holds the tree as well.
+CHUNK = 1_000_000
 
 
 def _packed(x: np.ndarray) -> tuple[str, int, bytes]:
@@ -200,7 +202,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             c = np.bincount(at, weights=np.concatenate([c for _, c in held])).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(c)], ["word", "c"])
 
-        for b in slices(batches, text):
+        for b in slices(batches, text, CHUNK):
             _, h = with_end(tokens(column_bytes(b.column(text))), b.num_rows)
             words, c = np.unique(h, return_counts=True)
             held.append((words, c))
@@ -237,7 +239,7 @@ def _grown(docs: DataFrame, tree: Tree, text: str) -> Level:
 
         t, keys, size = held.value, [], 0
         tree_rare = t.rare
-        for b in slices(batches, text):
+        for b in slices(batches, text, CHUNK):
             doc, h = with_end(tokens(column_bytes(b.column(text))), b.num_rows)
             s = t.symbols(h)
             at = t.contexts(s, doc)[depth]
@@ -322,7 +324,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
         root = t.root()
         known = np.log10(t.count + 0.5) if len(t.count) else np.zeros(1)
         spread = np.log10(np.maximum((1 - t.unknown) * t.count / max(t.n, 1), 1e-300)) if len(t.count) else np.zeros(1)
-        for b in slices(batches, text):
+        for b in slices(batches, text, CHUNK):
             doc, h = with_end(tokens(column_bytes(b.column(text))), b.num_rows)
             at = t.place(h)
             s = np.where(at >= 0, t.symbol[at] if len(t.words) else t.rare, t.rare)
