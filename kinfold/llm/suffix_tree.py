@@ -45,6 +45,14 @@ def _unpacked(kind: str, n: int, blob: bytes) -> np.ndarray:
     return np.cumsum(unplanes(unsqueeze(blob), n, np.dtype(kind)), dtype=np.dtype(kind))
 
 
+def _search(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of x in the sorted keys, looked up in order, so that a table larger than the processor's cache is read along."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.searchsorted(keys, x[order])
+    return out
+
+
 class Packed:
     """Arrays are pickled packed; counts are whole quarters, so their differences are exact."""
 
@@ -144,7 +152,7 @@ class Tree(Packed):
         """Place of each hash among the tree's words, or -1."""
         if not len(self.words):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        at = np.minimum(_search(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, at, -1)
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
@@ -156,7 +164,7 @@ class Tree(Packed):
         if not len(self.pairs):
             return np.full(len(last), -1)
         key = before * (self.rare + 1) + last
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        at = np.minimum(_search(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, at, -1)
 
     def contexts(self, s: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
@@ -178,7 +186,7 @@ class Tree(Packed):
                 continue
             a = at[held]
             key = a * (self.rare + 1) + s[held]
-            k = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
+            k = np.minimum(_search(level.keys, key), len(level.keys) - 1)
             c = np.where(level.keys[k] == key, level.counts[k] - DISCOUNT, 0.0)
             p[held] = (c + level.mass[a] * p[held]) / level.total[a]
         return p
