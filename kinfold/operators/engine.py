@@ -111,6 +111,8 @@ def rule_fires(decisions: DataFrame) -> DataFrame:
 
 #: Merges of one component that a task decides in order; larger components are first cut by rounds over the whole table.
 TOGETHER = 200_000
+#: Targets left open are broadcast up to this size, counted beforehand, with the overhead of each row; larger sets are shuffled.
+SENT_BYTES, _ROW_BYTES = 32 << 20, 64
 
 
 def _in_order(table: pa.Table) -> pa.Table:
@@ -140,9 +142,14 @@ def greedy_merges(decisions: DataFrame, together: int = TOGETHER) -> DataFrame:
     first = settled(merges.groupBy(F.col("target_id").alias("t")).agg(F.min("source_id").alias("by")))
     late = first.filter("by < t").select(F.col("t").alias("by"))
     taken = settled(first.join(late, "by", "left_anti"))
-    dead = taken.filter("by < t").select(F.col("t").alias("source_id"))
-    open_ = settled(merges.join(taken.select(F.col("t").alias("target_id")), "target_id", "left_anti").join(dead, "source_id", "left_anti").distinct())
     done = taken.select(F.col("by").alias("canonical"), F.col("t").alias("merged"))
+    left = settled(first.join(late, "by", "left_semi").select(F.col("t").alias("target_id")))
+    n, size = left.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("target_id")), F.lit(0))).first()
+    if not n:
+        return done
+    dead = taken.filter("by < t").select(F.col("t").alias("source_id"))
+    near = F.broadcast(left) if size + _ROW_BYTES * n <= SENT_BYTES else left
+    open_ = settled(merges.join(near, "target_id", "left_semi").join(dead, "source_id", "left_anti").distinct())
     while not open_.isEmpty():
         of = connected_components(open_, "source_id", "target_id").toDF("source_id", "component")
         rows = settled(open_.join(of, "source_id"))
