@@ -6,6 +6,7 @@ by `greedy_merges`: merges are taken in order of (source, priority, target), and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
@@ -40,16 +41,21 @@ def outcome(action: Column, conflict: Column, forced: Column, enabled: bool) ->
     return F.when(gated, "flag").when(action == "merge", "auto_merge").when(action == "link", "auto_link").when(action == "flag", F.when(conflict, "conflict").otherwise("flag")).when(action == "enrich", "enrich").otherwise("noop")
 
 
+def _promote(found: DataFrame, settings: Settings) -> DataFrame:
+    """found with `decided`, `applied_force` and `outcome`."""
+    promoted = (F.col("action") == "flag") & F.col("threshold").isNotNull() & (F.col("confidence") >= F.col("threshold")) & ~F.col("conflict")
+    rows = found.withColumn("decided", F.when(promoted, "merge").otherwise(F.col("action")))
+    rows = rows.withColumn("applied_force", F.col("forced") & (F.col("decided") == "merge") & ~F.col("conflict"))
+    return rows.withColumn("outcome", outcome(F.col("decided"), F.col("conflict"), F.col("applied_force"), settings.auto_merge_enabled))
+
+
 def judge(found: DataFrame, settings: Settings, rules: list[Rule] | None = None) -> DataFrame:
     """All candidates with `decided` (the action after promotion), `applied_force`, `outcome` and `skipped`: after a merge or link of a target, later rules skip it for that source.
 
     ``before`` of a candidate names the first rule that merges the pair as its own columns tell. If ``rules`` are those of
     the pass, candidates of rules that come before every other merging one are judged by that alone and are not shuffled.
     """
-    promoted = (F.col("action") == "flag") & F.col("threshold").isNotNull() & (F.col("confidence") >= F.col("threshold")) & ~F.col("conflict")
-    rows = found.withColumn("decided", F.when(promoted, "merge").otherwise(F.col("action")))
-    rows = rows.withColumn("applied_force", F.col("forced") & (F.col("decided") == "merge") & ~F.col("conflict"))
-    rows = rows.withColumn("outcome", outcome(F.col("decided"), F.col("conflict"), F.col("applied_force"), settings.auto_merge_enabled))
+    rows = _promote(found, settings)
     earlier = F.col("before") if "before" in found.columns else F.lit(None).cast("int")
     others = [r.priority for r in rules if not r.holds and (r.action in ("merge", "link") or r.threshold is not None)] if rules is not None else [0]
     from_here = min(others, default=1 << 30)
@@ -134,12 +140,45 @@ def greedy_merges(decisions: DataFrame, together: int = TOGETHER) -> DataFrame:
     through rounds in which a pair acts if no earlier open source can still merge either end and its target, if an earlier
     source, has acted itself; the least source always can. They fall apart on the way. Nulls and pairs with oneself don't count.
     """
+    merges = _merging(decisions)
+
+    def pairs(targets: DataFrame, gone: DataFrame) -> DataFrame:
+        return merges.join(targets, "target_id", "left_semi").join(gone, "source_id", "left_anti")
+
+    return _greedy(merges.select("target_id", F.col("source_id").alias("by")), pairs, together)
+
+
+def greedy_pass(tables: Tables, label: str, settings: Settings, mode: str = "all", exclude_prefix: str | None = None, rules: list[Rule] | None = None, together: int = TOGETHER) -> DataFrame:
+    """(canonical, merged): greedy_merges of the decisions of a pass.
+
+    Which pairs merge doesn't depend on what is skipped, since a skipped pair has merged already. Rules with `least` name the
+    first source of each target by classes of rows; their pairs are only made for targets that this leaves open.
+    """
+    from .graph import settled
+
+    active = rules if rules is not None else select(label, mode, exclude_prefix)
+    short = [r for r in active if r.least]
+    others = settled(_merging(_promote(candidates(tables, label, settings, rules=[r for r in active if not r.least]), settings)))
+    first = reduce(DataFrame.unionByName, [r.least(tables, settings) for r in short], others.select("target_id", F.col("source_id").alias("by")))
+
+    def pairs(targets: DataFrame, gone: DataFrame) -> DataFrame:
+        found = candidates(replace(tables, targets=targets, gone=gone), label, settings, rules=short)
+        return _merging(_promote(found, settings)).unionByName(others.join(targets, "target_id", "left_semi").join(gone, "source_id", "left_anti"))
+
+    return _greedy(first, pairs, together)
+
+
+def _merging(decisions: DataFrame) -> DataFrame:
+    return decisions.filter("outcome = 'auto_merge' and source_id <> target_id").select("source_id", "target_id")
+
+
+def _greedy(first: DataFrame, pairs: Callable[[DataFrame, DataFrame], DataFrame], together: int) -> DataFrame:
+    """first: (target_id, by), the least source of each target among the rows; pairs(targets, gone): the merges of some targets without some sources."""
     from .graph import connected_components, settled
 
-    merges = decisions.filter("outcome = 'auto_merge' and source_id <> target_id").select("source_id", "target_id")
     # An entity that no earlier one can merge acts. What it is the first to take is gone, and acts no more if it comes later:
     # in a large group that alone leaves little, and the group's pairs are never written.
-    first = settled(merges.groupBy(F.col("target_id").alias("t")).agg(F.min("source_id").alias("by")))
+    first = settled(first.groupBy(F.col("target_id").alias("t")).agg(F.min("by").alias("by")))
     late = first.filter("by < t").select(F.col("t").alias("by"))
     taken = settled(first.join(late, "by", "left_anti"))
     done = taken.select(F.col("by").alias("canonical"), F.col("t").alias("merged"))
@@ -149,7 +188,7 @@ def greedy_merges(decisions: DataFrame, together: int = TOGETHER) -> DataFrame:
         return done
     dead = taken.filter("by < t").select(F.col("t").alias("source_id"))
     near = F.broadcast(left) if size + _ROW_BYTES * n <= SENT_BYTES else left
-    open_ = settled(merges.join(near, "target_id", "left_semi").join(dead, "source_id", "left_anti").distinct())
+    open_ = settled(pairs(near, dead).distinct())
     while not open_.isEmpty():
         of = connected_components(open_, "source_id", "target_id").toDF("source_id", "component")
         rows = settled(open_.join(of, "source_id"))

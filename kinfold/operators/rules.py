@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -30,6 +30,9 @@ class Tables:
     neighbours: DataFrame | None = None
     #: Rules of the pass that tell from a pair's own columns whether they merge it, by priority.
     known: tuple[Rule, ...] = ()
+    #: Only pairs with a target in targets (target_id) and a source not in gone (source_id) are wanted; None: all.
+    targets: DataFrame | None = None
+    gone: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,8 @@ class Rule:
     find: Callable[[Tables, Settings], DataFrame | None] | None
     #: For a forced merge: whether it merges the pair (a_*, b_*), from columns alone.
     holds: Callable[[], Column] | None = None
+    #: For a forced merge: (target_id, by), the least source it merges into each target, by classes of rows instead of pairs.
+    least: Callable[[Tables, Settings], DataFrame] | None = None
 
 
 def prepare(entities: DataFrame) -> DataFrame:
@@ -115,6 +120,10 @@ def _pairs(name: str, t: Tables, df: DataFrame, keys: list[str], action: str, co
     for k in keys:
         full = full.filter(_present(k))
     a, b = _sides(full if left_if is None else full.filter(left_if), keys, [*ids, *left], [])[0], _sides(full if right_if is None else full.filter(right_if), keys, [], [*ids, *right])[1]
+    if t.targets is not None:
+        b = b.join(t.targets, F.col("b_id") == F.col("target_id"), "left_semi")
+    if t.gone is not None:
+        a = a.join(t.gone, F.col("a_id") == F.col("source_id"), "left_anti")
     met = a.join(b, keys).filter(F.col("a_id") != F.col("b_id"))
     for k in keys:  # a key is a column of both sides
         met = met.withColumn(f"a_{k}", F.col(k)).withColumn(f"b_{k}", F.col(k))
@@ -130,6 +139,39 @@ def exact_id(column: str):
     return lambda t, s: _pairs(f"exact_{column}_match", t, t.entities, [column], "merge", 1.0, True)
 
 
+def _least(sources: DataFrame, targets: DataFrame, at: list[str]) -> DataFrame:
+    """(target_id, by): the least source of each target's class but itself. Two sources of a class are all that is looked at."""
+    ranked = sources.filter("id is not null").withColumn("n", F.dense_rank().over(Window.partitionBy(*at).orderBy("id"))).filter("n <= 2")
+    two = ranked.groupBy(*at).agg(F.min("id").alias("one"), F.max("id").alias("other"))
+    by = F.when(F.col("one") != F.col("id"), F.col("one")).when(F.col("other") != F.col("id"), F.col("other"))
+    return targets.join(two, at).select(F.col("id").alias("target_id"), by.alias("by")).filter("by is not null")
+
+
+def least_same_id(column: str) -> Callable[[Tables, Settings], DataFrame]:
+    """Rows of one value merge if they agree on each other identifier that both have. Which ones both have follows from the
+    patterns of those that either has, so a target finds its sources by their pattern and the values of the shared ones: at
+    most four rows for an entity on either side, however many pairs a value has.
+    """
+    others = [c for c in ("lei", "cik", "vat") if c != column]
+
+    def find(t: Tables, s: Settings) -> DataFrame:
+        has = sum((F.when(F.col(f"{c}_canon").isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(others)), F.lit(0))
+        rows = t.entities.filter(_present(column)).select("id", F.col(column).alias("value"), *[f"{c}_canon" for c in others], has.alias("has"))
+        masks = F.explode(F.array(*[F.lit(m) for m in range(1 << len(others))]))
+        shared = [F.when(F.col("shared").bitwiseAND(1 << i) != 0, F.col(f"{c}_canon")).otherwise("").alias(c) for i, c in enumerate(others)]
+        sources = rows.withColumn("shared", masks).filter("shared & has = shared").select("id", "value", F.col("has").alias("pattern"), "shared", *shared)
+        targets = rows.withColumn("pattern", masks).withColumn("shared", F.expr("pattern & has")).select("id", "value", "pattern", "shared", *shared)
+        return _least(sources, targets, ["value", "pattern", "shared", *others])
+
+    return find
+
+
+def least_successor(t: Tables, s: Settings) -> DataFrame:
+    at = ["name_clean", "country", "issuer"]
+    rows = t.entities.withColumn("issuer", F.substring("lei", 1, 4)).filter(_present("name_clean") & _present("country") & _present("issuer"))
+    return _least(rows.filter("active").select("id", *at), rows.filter("not active").select("id", *at), at)
+
+
 def authority_id(t: Tables, s: Settings) -> DataFrame:
     """Equal id of two rows that differ in it: empty by its own condition."""
     return _pairs("exact_authority_id_match", t, t.entities.withColumn("same_id", F.col("id")), ["same_id"], "merge", 1.0, False)
@@ -216,15 +258,15 @@ def collapse(t: Tables, s: Settings) -> DataFrame | None:
 
 
 RULES = [
-    Rule(1, "exact_lei_match", "Company", 1.0, "merge", None, True, exact_id("lei"), same_id("lei")),
-    Rule(2, "exact_cik_match", "Company", 1.0, "merge", None, True, exact_id("cik"), same_id("cik")),
-    Rule(3, "exact_vat_match", "Company", 1.0, "merge", None, True, exact_id("vat"), same_id("vat")),
+    Rule(1, "exact_lei_match", "Company", 1.0, "merge", None, True, exact_id("lei"), same_id("lei"), least_same_id("lei")),
+    Rule(2, "exact_cik_match", "Company", 1.0, "merge", None, True, exact_id("cik"), same_id("cik"), least_same_id("cik")),
+    Rule(3, "exact_vat_match", "Company", 1.0, "merge", None, True, exact_id("vat"), same_id("vat"), least_same_id("vat")),
     Rule(4, "gds_same_as_cluster_collapse_company", "Company", 1.0, "merge", None, True, collapse),
     Rule(5, "translation_enrichment_authority", "Authority", 1.0, "enrich", None, False, None),
     Rule(6, "exact_authority_id_match", "Authority", 1.0, "merge", None, True, authority_id),
     Rule(7, "gds_same_as_cluster_collapse_authority", "Authority", 1.0, "merge", None, True, collapse),
     Rule(8, "translation_enrichment_contract", "Contract", 1.0, "enrich", None, False, None),
-    Rule(9, "successor_lei_match", "Company", 0.98, "merge", None, True, successor, succeeds),
+    Rule(9, "successor_lei_match", "Company", 0.98, "merge", None, True, successor, succeeds, least_successor),
     Rule(10, "exact_name_country_match", "Company", 0.95, "flag", None, False, name_country_company),
     Rule(11, "fuzzy_name_same_country", "Company", 0.95, "flag", 0.97, False, fuzzy_company),
     Rule(12, "exact_name_country_match_authority", "Authority", 0.95, "merge", None, False, name_country_authority),

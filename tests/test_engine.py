@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,25 @@ def test_greedy_merges_end_only_when_nothing_is_open(spark):
     assert sorted(tuple(r) for r in engine.greedy_merges(df.coalesce(1), together=20).collect()) == want
 
 
+def test_greedy_pass_is_greedy_merges_of_its_decisions(spark):
+    some = random.Random(7)
+    pick = lambda *values: some.choice(values)
+    rows = [(f"{some.randrange(70):02}", pick("Acme", "Acme GmbH", "Bolt", "", None), pick("DEU", "FRA", None), pick(L1, L2, "x", "", None), pick("0000000001", "2", None, None), pick("DE123456789", "FR1", None, None), pick(True, False, None), None) for _ in range(90)]
+    entities = company(spark, [*rows, *rows[:3]])
+    active, settings = [r for r in rules.select("Company") if r.priority in (1, 2, 3, 9, 10, 11)], Settings(auto_merge_enabled=True)
+    t = rules.Tables(entities)
+    for chosen in (active, active[:1], active[3:4], active[4:]):
+        whole = engine.greedy_merges(engine.decide(engine.candidates(t, "Company", settings, rules=chosen), settings))
+        assert sorted(map(tuple, engine.greedy_pass(t, "Company", settings, rules=chosen).collect())) == sorted(map(tuple, whole.collect()))
+    # The least source of each target, against all pairs of the rule.
+    for rule in active[:4]:
+        pairs = [(r["target_id"], r["source_id"]) for r in rule.find(t, settings).filter("action = 'merge'").collect()]
+        least = {}
+        for target, by in rule.least(t, settings).select("target_id", "by").collect():
+            least[target] = min(by, least.get(target, by))
+        assert least == {target: min(by for x, by in pairs if x == target) for target, _ in pairs}
+
+
 def test_fold_keeps_latest_and_sticky_flags(spark):
     rows = [("a", "b", "r1", 0.9, "d1", True, False, 1), ("a", "b", "r2", 0.95, "d2", False, True, 2), ("a", "b", "r1", 0.95, "d3", False, False, 3)]
     df = spark.createDataFrame(rows, "source_id string, target_id string, rule string, confidence double, detected_at string, reviewed boolean, conflict boolean, seq int")
