@@ -92,6 +92,44 @@ def _jaro_winkler(left: list[str], right: list[str], n: np.ndarray, m: np.ndarra
     return np.where([x == y for x, y in zip(left, right, strict=True)], 1.0, out)
 
 
+def jaro_winkler_most(left: list[str], right: list[str]) -> np.ndarray:
+    """At least jaro_winkler_similarity of each pair: as if all letters that both hold met in order."""
+    out = np.ones(len(left))
+    order = np.argsort(np.array([max(len(a), len(b)) for a, b in zip(left, right, strict=True)], np.int64), kind="stable") if len(left) else []
+    for at in range(0, len(left), 4000):
+        some = order[at : at + 4000]
+        ones, others = [left[i] for i in some], [right[i] for i in some]
+        n, m = (np.fromiter(map(len, x), np.int64, len(some)) for x in (ones, others))
+        a, b = _codes(ones, max(int(n.max()), 4)), _codes(others, max(int(m.max()), 4))
+        shared = np.minimum(_letters(a, n), _letters(b, m)).sum(1)
+        same = (a[:, :4] == b[:, :4]) & (np.arange(4)[None, :] < np.minimum(n, m)[:, None])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = (shared / n + shared / m + 1) / 3
+        most = jaro + 0.1 * np.cumprod(same, 1).sum(1) * (1 - jaro)
+        out[some] = np.where((n > 0) & (m > 0), most, 1.0)
+    return out
+
+
+def _letters(codes: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How often each letter, by the low six bits of its code, occurs in each row."""
+    row, place = np.nonzero(np.arange(codes.shape[1])[None, :] < length[:, None])
+    return np.bincount(row * 64 + (codes[row, place] & 63), minlength=64 * len(codes)).reshape(-1, 64)
+
+
+def jaro_winkler_from(least: float):
+    """As jaro_winkler, but null for pairs whose letters and lengths tell that they stay below ``least``."""
+
+    @F.pandas_udf(T.DoubleType())
+    def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+        ok = np.flatnonzero(left.notna().to_numpy() & right.notna().to_numpy())
+        ok = ok[jaro_winkler_most(left.iloc[ok].tolist(), right.iloc[ok].tolist()) >= least - 1e-9]
+        out = np.full(len(left), np.nan)
+        out[ok] = jaro_winkler_many(left.iloc[ok].tolist(), right.iloc[ok].tolist())
+        return pd.Series(out)
+
+    return similarity
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     ok = np.flatnonzero(left.notna().to_numpy() & right.notna().to_numpy())

@@ -145,7 +145,7 @@ def greedy_merges(decisions: DataFrame, together: int = TOGETHER) -> DataFrame:
     def pairs(targets: DataFrame, gone: DataFrame) -> DataFrame:
         return merges.join(targets, "target_id", "left_semi").join(gone, "source_id", "left_anti")
 
-    return _greedy(merges.select("target_id", F.col("source_id").alias("by")), pairs, together)
+    return _greedy(lambda targets, gone: merges.select("target_id", F.col("source_id").alias("by")), pairs, together, again=False)
 
 
 def greedy_pass(tables: Tables, label: str, settings: Settings, mode: str = "all", exclude_prefix: str | None = None, rules: list[Rule] | None = None, together: int = TOGETHER) -> DataFrame:
@@ -159,36 +159,52 @@ def greedy_pass(tables: Tables, label: str, settings: Settings, mode: str = "all
     active = rules if rules is not None else select(label, mode, exclude_prefix)
     short = [r for r in active if r.least]
     others = settled(_merging(_promote(candidates(tables, label, settings, rules=[r for r in active if not r.least]), settings)))
-    first = reduce(DataFrame.unionByName, [r.least(tables, settings) for r in short], others.select("target_id", F.col("source_id").alias("by")))
+    def narrow(targets: DataFrame | None, gone: DataFrame | None) -> tuple[Tables, DataFrame]:
+        kept = others
+        if targets is not None:
+            kept = kept.join(targets, "target_id", "left_semi").join(gone, "source_id", "left_anti")
+        return replace(tables, targets=targets, gone=gone), kept.select("source_id", "target_id")
+
+    def first(targets: DataFrame | None, gone: DataFrame | None) -> DataFrame:
+        some, kept = narrow(targets, gone)
+        return reduce(DataFrame.unionByName, [r.least(some, settings) for r in short], kept.select("target_id", F.col("source_id").alias("by")))
 
     def pairs(targets: DataFrame, gone: DataFrame) -> DataFrame:
-        found = candidates(replace(tables, targets=targets, gone=gone), label, settings, rules=short)
-        return _merging(_promote(found, settings)).unionByName(others.join(targets, "target_id", "left_semi").join(gone, "source_id", "left_anti"))
+        some, kept = narrow(targets, gone)
+        return _merging(_promote(candidates(some, label, settings, rules=short), settings)).unionByName(kept)
 
-    return _greedy(first, pairs, together)
+    return _greedy(first, pairs, together, again=True)
 
 
 def _merging(decisions: DataFrame) -> DataFrame:
     return decisions.filter("outcome = 'auto_merge' and source_id <> target_id").select("source_id", "target_id")
 
 
-def _greedy(first: DataFrame, pairs: Callable[[DataFrame, DataFrame], DataFrame], together: int) -> DataFrame:
-    """first: (target_id, by), the least source of each target among the rows; pairs(targets, gone): the merges of some targets without some sources."""
+def _greedy(first: Callable, pairs: Callable, together: int, again: bool) -> DataFrame:
+    """first(targets, gone): (target_id, by), a source of each target at least, the least one among them, of the targets named without
+    the sources gone (None: of all); pairs(targets, gone): the merges of such. again: first is asked as long as it halves what is open."""
     from .graph import connected_components, settled
 
     # An entity that no earlier one can merge acts. What it is the first to take is gone, and acts no more if it comes later:
     # in a large group that alone leaves little, and the group's pairs are never written.
-    first = settled(first.groupBy(F.col("target_id").alias("t")).agg(F.min("by").alias("by")))
-    late = first.filter("by < t").select(F.col("t").alias("by"))
-    taken = settled(first.join(late, "by", "left_anti"))
-    done = taken.select(F.col("by").alias("canonical"), F.col("t").alias("merged"))
-    left = settled(first.join(late, "by", "left_semi").select(F.col("t").alias("target_id")))
-    n, size = left.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("target_id")), F.lit(0))).first()
-    if not n:
-        return done
-    dead = taken.filter("by < t").select(F.col("t").alias("source_id"))
-    near = F.broadcast(left) if size + _ROW_BYTES * n <= SENT_BYTES else left
-    open_ = settled(pairs(near, dead).distinct())
+    near = gone = done = before = None
+    while True:
+        least = settled(first(near, gone).groupBy(F.col("target_id").alias("t")).agg(F.min("by").alias("by")))
+        late = least.filter("by < t").select(F.col("t").alias("by"))
+        taken = settled(least.join(late, "by", "left_anti"))
+        now = taken.select(F.col("by").alias("canonical"), F.col("t").alias("merged"))
+        done = now if done is None else done.unionByName(now)
+        left = settled(least.join(late, "by", "left_semi").select(F.col("t").alias("target_id")))
+        n, size = left.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("target_id")), F.lit(0))).first()
+        if not n:
+            return done
+        dead = taken.filter("by < t").select(F.col("t").alias("source_id"))
+        gone = dead if gone is None else gone.unionByName(dead)
+        near = F.broadcast(left) if size + _ROW_BYTES * n <= SENT_BYTES else left
+        if not again or (before is not None and 2 * n > before):
+            break
+        before = n
+    open_ = settled(pairs(near, gone).distinct())
     while not open_.isEmpty():
         of = connected_components(open_, "source_id", "target_id").toDF("source_id", "component")
         rows = settled(open_.join(of, "source_id"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import names as N
-from ..functions.similarity import jaro_winkler
+from ..functions.similarity import jaro_winkler, jaro_winkler_from
 from . import fulltext, vectors
 from .graph import cluster_collapse, node_similarity, settled
 
@@ -139,8 +139,12 @@ def exact_id(column: str):
     return lambda t, s: _pairs(f"exact_{column}_match", t, t.entities, [column], "merge", 1.0, True)
 
 
-def _least(sources: DataFrame, targets: DataFrame, at: list[str]) -> DataFrame:
+def _least(t: Tables, sources: DataFrame, targets: DataFrame, at: list[str]) -> DataFrame:
     """(target_id, by): the least source of each target's class but itself. Two sources of a class are all that is looked at."""
+    if t.targets is not None:
+        targets = targets.join(t.targets, F.col("id") == F.col("target_id"), "left_semi")
+    if t.gone is not None:
+        sources = sources.join(t.gone, F.col("id") == F.col("source_id"), "left_anti")
     ranked = sources.filter("id is not null").withColumn("n", F.dense_rank().over(Window.partitionBy(*at).orderBy("id"))).filter("n <= 2")
     two = ranked.groupBy(*at).agg(F.min("id").alias("one"), F.max("id").alias("other"))
     by = F.when(F.col("one") != F.col("id"), F.col("one")).when(F.col("other") != F.col("id"), F.col("other"))
@@ -161,7 +165,7 @@ def least_same_id(column: str) -> Callable[[Tables, Settings], DataFrame]:
         shared = [F.when(F.col("shared").bitwiseAND(1 << i) != 0, F.col(f"{c}_canon")).otherwise("").alias(c) for i, c in enumerate(others)]
         sources = rows.withColumn("shared", masks).filter("shared & has = shared").select("id", "value", F.col("has").alias("pattern"), "shared", *shared)
         targets = rows.withColumn("pattern", masks).withColumn("shared", F.expr("pattern & has")).select("id", "value", "pattern", "shared", *shared)
-        return _least(sources, targets, ["value", "pattern", "shared", *others])
+        return _least(t, sources, targets, ["value", "pattern", "shared", *others])
 
     return find
 
@@ -169,7 +173,7 @@ def least_same_id(column: str) -> Callable[[Tables, Settings], DataFrame]:
 def least_successor(t: Tables, s: Settings) -> DataFrame:
     at = ["name_clean", "country", "issuer"]
     rows = t.entities.withColumn("issuer", F.substring("lei", 1, 4)).filter(_present("name_clean") & _present("country") & _present("issuer"))
-    return _least(rows.filter("active").select("id", *at), rows.filter("not active").select("id", *at), at)
+    return _least(t, rows.filter("active").select("id", *at), rows.filter("not active").select("id", *at), at)
 
 
 def authority_id(t: Tables, s: Settings) -> DataFrame:
@@ -204,7 +208,7 @@ def _fuzzy(t: Tables, s: Settings, normal, conflicts: bool) -> DataFrame:
     side = lambda x: own.select(*[F.col(c).alias(f"{x}_{c}") for c in own.columns])
     met = got.join(side("a"), F.col("source_id") == F.col("a_id")).join(side("b"), F.col("target_id") == F.col("b_id")).filter("a_norm <> '' and b_norm <> ''")
     # Settled, so that who reads the candidates twice doesn't compare the names twice.
-    near = settled(met.withColumn("jw", jaro_winkler("a_norm", "b_norm")).filter(F.col("jw") >= s.fuzzy_name_threshold))
+    near = settled(met.withColumn("jw", jaro_winkler_from(s.fuzzy_name_threshold)("a_norm", "b_norm")).filter(F.col("jw") >= s.fuzzy_name_threshold))
     refused = hard_id_conflict().isNotNull() if conflicts else F.lit(False)
     return near.select("source_id", "target_id", F.when(refused, 0.0).otherwise(F.col("jw")).alias("confidence"), F.when(refused, "noop").otherwise("flag").alias("action"), F.lit(False).alias("conflict"), F.lit(None).cast("string").alias("conflict_property"), *merged_before(t, "fuzzy_name_same_country" if conflicts else "fuzzy_name_same_country_authority"))
 

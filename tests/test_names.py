@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions import names as N
-from kinfold.functions.similarity import jaro_winkler_similarity
+from kinfold.functions.similarity import jaro_winkler_most, jaro_winkler_similarity
 
 
 def values(spark, f, rows):
@@ -46,3 +48,13 @@ def test_jaro_winkler(a, b, want):
 def test_sql_names(spark):
     N.register(spark)
     assert spark.sql("SELECT jaro_winkler('MARTHA', 'MARHTA') AS j, clean_name('Ünal 1') AS c").first()[1] == "uenal1"
+
+
+def test_bound_of_the_similarity_is_never_below_it():
+    some = random.Random(3)
+    texts = ["", "a", "\ud800x", "abcdefghij" * 30, *("".join(some.choices("abcé 一", k=some.randrange(12))) for _ in range(300))]
+    left, right = [some.choice(texts) for _ in range(5000)], [some.choice(texts) for _ in range(5000)]
+    most = jaro_winkler_most(left, right)
+    exact = [jaro_winkler_similarity(a, b) for a, b in zip(left, right)]
+    assert all(m >= x - 1e-12 for m, x in zip(most, exact)) and (most < 0.92).sum() > 1000
+    assert jaro_winkler_most([], []).size == 0
