@@ -8,21 +8,26 @@ is scored at the longest context that the tree holds. Unknown words are one symb
 seen once.
 
 All counts are taken over all training rows, and all least counts are absolute: what was seen often enough to be kept in a
-small corpus is kept in a large one, so the tree, which is gathered and broadcast, grows with the corpus. Words seen once
-are never gathered but joined.
+small corpus is kept in a large one, so the tree grows with the corpus. Tasks write it to the shared checkpoint folder, as
+sorted tables that are mapped into memory where they are looked into: no process holds it, it is neither gathered nor
+broadcast. Words seen once are not in it but joined.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import partitions, written
+from ._spark import partitions, settled, written
 from ._text import U64, Hasher, Tokens, column_bytes, mix, planes, slices, squeeze, tokens, unplanes, unsqueeze
 
 #: Words of less than this share of all tokens are joined even if seen SYMBOL_COUNT times, and lumped in contexts (0: none).
@@ -32,17 +37,42 @@ SYMBOL_COUNT, PAIR_COUNT, CONTEXT_COUNT = 2, 2, 4
 DIVERGENCE, DISCOUNT = 10.0, 0.75
 END = U64(0x5851F42D4C957F2D)
 _FLUSH = 2_000_000
-#: Bytes of text handled at once: a task holds the tree as well.
+#: Bytes of text handled at once.
 CHUNK = 1_000_000
+#: Words or tokens of a bucket, about; buckets grow in number with the corpus.
+BUCKET = 1_000_000
 
 
-def _packed(x: np.ndarray) -> tuple[str, int, bytes]:
-    """x for the broadcast, which is written to disk by the driver and each executor: differences, bytes of equal weight together, compressed."""
-    return x.dtype.str, len(x), squeeze(planes(np.diff(x, prepend=x.dtype.type(0))))
+def _folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share and must have mounted."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        settled(spark.range(0))
+    at = urlsplit(spark.sparkContext.getCheckpointDir())
+    if at.scheme not in ("", "file"):
+        raise RuntimeError("the tree's tables are mapped into memory: spark.checkpoint.dir must be a mounted folder")
+    path = f"{unquote(at.path)}/kinfold-tree-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
 
 
-def _unpacked(kind: str, n: int, blob: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(unsqueeze(blob), n, np.dtype(kind)), dtype=np.dtype(kind))
+def _write(path: str, x: np.ndarray) -> None:
+    """x as a file, whole or not at all: a task may run twice."""
+    part = f"{path}-{uuid.uuid4().hex}"
+    np.ascontiguousarray(x).tofile(part)
+    os.replace(part, path)
+
+
+def _join(path: str, buckets: list[int]) -> None:
+    """The parts path-bucket one after the other as the file path; the parts go."""
+    with open(path, "wb") as out:
+        for b in buckets:
+            with open(f"{path}-{b}", "rb") as part:
+                shutil.copyfileobj(part, out, 1 << 20)
+            os.remove(f"{path}-{b}")
+
+
+def _mapped(path: str, kind, mode: str = "r") -> np.ndarray:
+    return np.asarray(np.memmap(path, kind, mode)) if os.path.getsize(path) else np.zeros(0, kind)
 
 
 def _search(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -53,101 +83,102 @@ def _search(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-class Packed:
-    """Arrays are pickled packed; counts are whole quarters, so their differences are exact."""
+class Mapped:
+    """Arrays are files of the folder, opened where they are used."""
 
     def __getstate__(self) -> dict:
-        return {k: _packed(x) if isinstance(x, np.ndarray) else x for k, x in self.__dict__.items() if k != "_pairs"}
+        return {k: x for k, x in self.__dict__.items() if not k.startswith("_")}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update({k: _unpacked(*x) if isinstance(x, tuple) else x for k, x in state.items()})
+    def _open(self, name: str, kind) -> np.ndarray:
+        if f"_{name}" not in self.__dict__:
+            self.__dict__[f"_{name}"] = _mapped(f"{self.folder}/{name}", kind)
+        return self.__dict__[f"_{name}"]
 
 
-class Level:
-    """Contexts of one length, kept packed as the tasks made them, by range of the context; opened where they are used.
+@dataclass
+class Level(Mapped):
+    """Contexts of one length.
 
     keys: kept (context, symbol) in order; counts: theirs; total: of each context (0: not kept); mass: what the
     discount and the dropped symbols free.
     """
 
-    def __init__(self, packs: list[bytes], n_contexts: int, rare: int):
-        self.packs, self.n_contexts, self.rare, self._open = packs, n_contexts, rare, None
+    folder: str
+    n_contexts: int
+    rare: int
+    empty: bool
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_open": None}
-
-    def parts(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """(context, total, key, count) of each pack."""
-        for pack in self.packs:
-            raw = unsqueeze(pack)
-            n, m = (int(x) for x in raw[:16].view(np.int64))
-            at = [16 + 8 * n, 16 + 16 * n, 16 + 16 * n + 8 * m]
-            yield np.cumsum(unplanes(raw[16:], n, np.int64)), unplanes(raw[at[0] :], n, np.int64), np.cumsum(unplanes(raw[at[1] :], m, np.int64)), unplanes(raw[at[2] :], m, np.uint32)
-
-    def _arrays(self) -> tuple[np.ndarray, ...]:
-        if self._open is None:
-            size = sum(int(unsqueeze(pack)[8:16].view(np.int64)[0]) for pack in self.packs)
-            keys, counts = np.full(max(size, 1), -1, np.int64), np.zeros(max(size, 1), np.uint32)
-            total, mass, at = np.zeros(self.n_contexts), np.zeros(self.n_contexts), 0
-            for context, t, k, c in self.parts():
-                total[context] = t
-                mass[context] += t
-                np.subtract.at(mass, k // (self.rare + 1), c - DISCOUNT)
-                keys[at : at + len(k)], counts[at : at + len(k)] = k, c
-                at += len(k)
-            self._open = keys, counts, total, mass
-        return self._open
-
-    keys = property(lambda self: self._arrays()[0])
-    counts = property(lambda self: self._arrays()[1])
-    total = property(lambda self: self._arrays()[2])
-    mass = property(lambda self: self._arrays()[3])
+    @property
+    def keys(self) -> np.ndarray:
+        return np.full(1, -1, np.int64) if self.empty else self._open("keys", np.int64)
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.zeros(1, np.uint32) if self.empty else self._open("counts", np.uint32)
+
+    @property
+    def total(self) -> np.ndarray:
+        return self._open("total", np.float64)
+
+    @property
+    def mass(self) -> np.ndarray:
+        return self._open("mass", np.float64)
 
     def extended(self) -> Iterator[np.ndarray]:
         """Keys (symbol, symbol) of the contexts of one word more: often enough, and closed under suffixes."""
-        kept = np.zeros(self.n_contexts + 1, bool)
-        for context, *_ in self.parts():
-            kept[context] = True
-        for _, _, key, count in self.parts():
-            s = key % (self.rare + 1)
-            yield key[(count - DISCOUNT >= CONTEXT_COUNT) & (s < self.rare) & kept[s]]
+        for i in range(0, 0 if self.empty else len(self.keys), BUCKET):
+            key, count = self.keys[i : i + BUCKET], self.counts[i : i + BUCKET]
+            key = key[(count - DISCOUNT >= CONTEXT_COUNT) & (key % (self.rare + 1) < self.rare)]
+            yield key[self.total[key % (self.rare + 1)] > 0]
 
 
 @dataclass
-class Tree(Packed):
+class Tree(Mapped):
     n: int  # training tokens
     v: int  # distinct ones
     once: int  # words seen once
-    words: np.ndarray  # hashes of the words of the least count, in order
-    symbol: np.ndarray  # of each: its symbol, or `rare`
-    count: np.ndarray  # of each
-    rare: int
+    rare: int  # words of the least count; a word's place among them is its symbol, and `rare` stands for all others
+    own: int  # tokens of theirs
+    folder: str
     levels: list[Level]
     n_pairs: int  # contexts of two words
 
+    @property
+    def words(self) -> np.ndarray:
+        """Hashes of the words of the least count, in order."""
+        return self._open("words", U64)
+
+    @property
+    def count(self) -> np.ndarray:
+        """Of each of the words."""
+        return self._open("count", np.int64)
+
     @property
     def pairs(self) -> np.ndarray:
         """Keys (symbol, symbol) of the two-word contexts, in order; their place is the context's number."""
-        if "_pairs" not in self.__dict__:
-            self._pairs, at = np.zeros(self.n_pairs, np.int64), 0
-            for part in self.levels[0].extended() if self.n_pairs else ():
-                self._pairs[at : at + len(part)] = part
-                at += len(part)
-        return self._pairs
+        return self._open("pairs", np.int64) if self.n_pairs else np.zeros(0, np.int64)
 
     @property
     def unknown(self) -> float:
         """Share of unknown words."""
         return (self.once + 0.5) / (self.n + 1) if self.n else 1.0
 
-    def root(self) -> np.ndarray:
-        """Probability of each symbol; the last is all others together, unknown ones included."""
-        p = np.zeros(self.rare + 1)
-        own = self.symbol < self.rare
-        p[self.symbol[own]] = (1 - self.unknown) * self.count[own] / max(self.n, 1)
-        p[-1] = max(1 - p[:-1].sum(), 1e-12)
+    @property
+    def rest(self) -> float:
+        """Probability of all words that are no symbols together, unknown ones included."""
+        return max(1 - (1 - self.unknown) * self.own / max(self.n, 1), 1e-12)
+
+    def share(self, s: np.ndarray) -> np.ndarray:
+        """The root's probability of each symbol."""
+        p = np.full(len(s), self.rest)
+        known = s < self.rare
+        p[known] = (1 - self.unknown) * self.count[s[known]] / max(self.n, 1)
         return p
 
+    def root(self) -> np.ndarray:
+        """Probability of each symbol; the last is all others together."""
+        return self.share(np.arange(self.rare + 1))
+
     def place(self, h: np.ndarray) -> np.ndarray:
         """Place of each hash among the tree's words, or -1."""
         if not len(self.words):
@@ -157,7 +188,7 @@ class Tree(Packed):
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         at = self.place(h)
-        return np.where(at >= 0, self.symbol[at] if len(self.words) else self.rare, self.rare)
+        return np.where(at >= 0, at, self.rare)
 
     def pair(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Number of the context (before, last), or -1."""
@@ -177,9 +208,9 @@ class Tree(Packed):
             two[2:] = np.where(ok, self.pair(s[:-2], s[1:-1]), -1)
         return [one, two]
 
-    def probability(self, s: np.ndarray, contexts: list[np.ndarray], root: np.ndarray) -> np.ndarray:
-        """Of each symbol after its contexts, from the shortest context to the longest one held."""
-        p = root[s]
+    def probability(self, s: np.ndarray, contexts: list[np.ndarray], root: np.ndarray | None = None) -> np.ndarray:
+        """Of each symbol after its contexts, from the shortest context to the longest one held. root: of all symbols, if at hand."""
+        p = self.share(s) if root is None else root[s]
         for level, at in zip(self.levels, contexts, strict=False):
             held = np.flatnonzero((at >= 0) & (level.total[np.maximum(at, 0)] > 0)) if len(level.total) else []
             if not len(held):
@@ -224,37 +255,39 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all parts in order, and the sums of their counts."""
+    keys, of = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(of.reshape(-1), weights=np.concatenate([c for _, c in parts]))
+
+
 def _grown(docs: DataFrame, tree: Tree, text: str) -> Level:
     """The next level of the tree: counts of (context, symbol) by context, then the divergence test beside the data."""
     depth = len(tree.levels)
     n_contexts = tree.rare if depth == 0 else tree.n_pairs
-    if not n_contexts:
-        return Level([], 0, tree.rare)
-    context = docs.sparkSession.sparkContext
-    held = context.broadcast(tree)
-    buckets = 2 * partitions(docs.sparkSession)
-    width = -(-n_contexts // buckets)
-    root = context.broadcast(tree.root())
+    folder = f"{tree.folder}/{depth + 1}"
+    os.makedirs(folder)
+    buckets = max(2 * partitions(docs.sparkSession), tree.n // BUCKET)
+    width = max(-(-n_contexts // buckets), 1)
 
     def count(batches):
         def flush(keys):
             keys, c = np.unique(np.concatenate(keys), return_counts=True)
-            bucket = keys // (tree_rare + 1) // width
+            bucket = keys // (tree.rare + 1) // width
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(cut[1:], len(keys))
             blobs = [squeeze(np.int64([j - i]).tobytes() + planes(np.diff(keys[i:j], prepend=0)) + planes(c[i:j].astype(np.uint32))) for i, j in zip(cut, ends, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], ["bucket", "pairs"])
 
-        t, keys, size = held.value, [], 0
-        tree_rare = t.rare
+        keys, size = [], 0
         for b in slices(batches, text, CHUNK):
             doc, h = with_end(tokens(column_bytes(b.column(text))), b.num_rows)
-            s = t.symbols(h)
-            at = t.contexts(s, doc)[depth]
+            s = tree.symbols(h)
+            at = tree.contexts(s, doc)
             if depth:
-                at = np.where(t.levels[0].total[np.maximum(t.contexts(s, doc)[0], 0)] > 0, at, -1)
-            ok = at >= 0
-            keys.append(at[ok] * (tree_rare + 1) + s[ok])
+                at[1] = np.where(tree.levels[0].total[np.maximum(at[0], 0)] > 0, at[1], -1)
+            ok = at[depth] >= 0
+            keys.append(at[depth][ok] * (tree.rare + 1) + s[ok])
             size += int(ok.sum())
             if size > _FLUSH:
                 yield flush(keys)
@@ -263,37 +296,45 @@ def _grown(docs: DataFrame, tree: Tree, text: str) -> Level:
             yield flush(keys)
 
     def test(table: pa.Table) -> pa.Table:
-        t = held.value
-        got = []
+        bucket = table.column("bucket")[0].as_py()
+        got, size = [], 0
         for blob in table.column("pairs"):
             raw = unsqueeze(blob.as_py())
             n = int(raw[:8].view(np.int64)[0])
             got.append((np.cumsum(unplanes(raw[8:], n, np.int64)), unplanes(raw[8 + 8 * n :], n, np.uint32)))
-        keys, of = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
-        c = np.bincount(of.reshape(-1), weights=np.concatenate([x for _, x in got]))
-        base = root.value
-        ctx, s = keys // (t.rare + 1), keys % (t.rare + 1)
+            size += n
+            if size > _FLUSH + 2 * len(got[0][0]):  # a frequent word's bucket repeats its pairs
+                got = [_merged(got)]
+                size = len(got[0][0])
+        keys, c = _merged(got)
+        ctx, s = keys // (tree.rare + 1), keys % (tree.rare + 1)
         first = np.flatnonzero(np.diff(ctx, prepend=-1))
         total = np.add.reduceat(c, first)
-        if depth:
-            last = t.pairs[ctx] % (t.rare + 1)
-            p = t.probability(s, [last], base)
-        else:
-            p = base[s]
-        share = c / np.repeat(total, np.diff(np.append(first, len(c))))
-        gain = np.add.reduceat(c * np.log(share / np.maximum(p, 1e-300)), first)  # count * KL
+        p = tree.probability(s, [tree.pairs[ctx] % (tree.rare + 1)] if depth else [])
+        sizes = np.diff(np.append(first, len(c)))
+        gain = np.add.reduceat(c * np.log(c / np.repeat(total, sizes) / np.maximum(p, 1e-300)), first)  # count * KL
         good = gain >= DIVERGENCE
-        keep = np.repeat(good, np.diff(np.append(first, len(c)))) & (c >= PAIR_COUNT)
-        head = np.int64([good.sum(), keep.sum()]).tobytes()
-        body = planes(np.diff(ctx[first][good], prepend=0)) + planes(total[good].astype(np.int64)) + planes(np.diff(keys[keep], prepend=0)) + planes(c[keep].astype(np.uint32))
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "pack": pa.array([squeeze(head + body)], pa.binary())})
-
-    # What is gathered stays packed; it is opened only by the tasks that look into it.
-    packs = docs.select(text).mapInArrow(count, "bucket long, pairs binary").groupBy("bucket").applyInArrow(test, "bucket long, pack binary").toLocalIterator()
-    level = Level([bytes(r["pack"]) for r in sorted(packs, key=lambda r: r["bucket"])], n_contexts, tree.rare)
-    held.destroy()
-    root.destroy()
-    return level
+        keep = np.repeat(good, sizes) & (c >= PAIR_COUNT)
+        mass = total - np.add.reduceat(np.where(keep, c - DISCOUNT, 0.0), first)
+        for name, x in (("keys", keys[keep]), ("counts", c[keep].astype(np.uint32)), ("context", ctx[first][good]), ("good", np.stack([total[good], mass[good]]))):
+            _write(f"{folder}/{name}-{bucket}", x)
+        return pa.table({"bucket": pa.array([bucket]), "kept": pa.array([int(keep.sum())])})
+
+    done = []
+    if n_contexts:
+        done = sorted(tuple(r) for r in docs.select(text).mapInArrow(count, "bucket long, pairs binary").groupBy("bucket").applyInArrow(test, "bucket long, kept long").collect())
+    for name in ("total", "mass"):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.truncate(8 * n_contexts)
+    total, mass = (_mapped(f"{folder}/{name}", np.float64, "r+") for name in ("total", "mass"))
+    for bucket, _ in done:
+        context, good = np.fromfile(f"{folder}/context-{bucket}", np.int64), np.fromfile(f"{folder}/good-{bucket}").reshape(2, -1)
+        total[context], mass[context] = good
+        os.remove(f"{folder}/context-{bucket}")
+        os.remove(f"{folder}/good-{bucket}")
+    for name in ("keys", "counts"):
+        _join(f"{folder}/{name}", [bucket for bucket, _ in done])
+    return Level(folder, n_contexts, tree.rare, not any(kept for _, kept in done))
 
 
 def least_count(n: int) -> float:
@@ -305,15 +346,29 @@ def train(docs: DataFrame, text: str = "text", depth: int = 2) -> tuple[Tree, Da
     """The tree learnt from docs, and the table (word, c) of all words, of which the tree holds those of the least count."""
     counts = written(word_counts(docs, text))
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1))).first()
-    top = counts.filter(F.col("c") >= least_count(n)).toArrow()
-    words, c = np.asarray(top.column("word")).view(U64), np.asarray(top.column("c"))
-    order = np.argsort(words)
-    words, c = words[order], c[order]
-    tree = Tree(n, v, once, words, np.arange(len(words)), c, len(words), [], 0)
+    top = counts.filter(F.col("c") >= least_count(n))
+    bits, folder = max((v // BUCKET).bit_length(), 4), _folder(docs.sparkSession)
+
+    def keep(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        words, c = (table.column(x).to_numpy() for x in ("word", "c"))
+        words = words.view(U64)
+        order = np.argsort(words)
+        _write(f"{folder}/words-{bucket}", words[order])
+        _write(f"{folder}/count-{bucket}", c[order])
+        return pa.table({"bucket": pa.array([bucket]), "n": pa.array([len(c)]), "own": pa.array([int(c.sum())])})
+
+    done = sorted(tuple(r) for r in top.withColumn("bucket", F.shiftrightunsigned("word", 64 - bits)).groupBy("bucket").applyInArrow(keep, "bucket long, n long, own long").collect())
+    for name in ("words", "count"):
+        _join(f"{folder}/{name}", [r[0] for r in done])
+    tree = Tree(n, v, once, sum(r[1] for r in done), sum(r[2] for r in done), folder, [], 0)
     if depth >= 1:
         tree.levels.append(_grown(docs, tree, text))
-    if depth >= 2 and len(words):
-        tree.n_pairs = sum(len(x) for x in tree.levels[0].extended())
+    if depth >= 2 and tree.rare:
+        with open(f"{folder}/pairs", "wb") as f:
+            for part in tree.levels[0].extended():
+                part.tofile(f)
+                tree.n_pairs += len(part)
         tree.levels.append(_grown(docs, tree, text))
     return tree, counts
 
@@ -324,29 +379,22 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
     Rows are told apart by id and a hash of the text; those that repeat both have one sum, which is shared among them.
     The tree's words are scored where the text is read; the others go to the table of counts by one join on the word.
     """
-    held = docs.sparkSession.sparkContext.broadcast(tree)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        t = held.value
-        root = t.root()
-        known = np.log10(t.count + 0.5) if len(t.count) else np.zeros(1)
-        spread = np.log10(np.maximum((1 - t.unknown) * t.count / max(t.n, 1), 1e-300)) if len(t.count) else np.zeros(1)
         for b in slices(batches, text, CHUNK):
             doc, h = with_end(tokens(column_bytes(b.column(text))), b.num_rows)
-            at = t.place(h)
-            s = np.where(at >= 0, t.symbol[at] if len(t.words) else t.rare, t.rare)
-            value = np.log10(np.maximum(t.probability(s, t.contexts(s, doc), root), 1e-300))
-            rest = s == t.rare
-            value[rest] -= np.log10(root[-1])  # times the word's own share, here or by the join
+            at = tree.place(h)
             here = at >= 0
-            value[here & rest] += spread[at[here & rest]]
+            s = np.where(here, at, tree.rare)
+            value = np.log10(np.maximum(tree.probability(s, tree.contexts(s, doc)), 1e-300))
+            value[~here] -= np.log10(tree.rest)  # times the word's own share, by the join
             size = b.num_rows
             n = np.bincount(doc, minlength=size)
             ids = b.column(id_col)
             texts = column_bytes(b.column(text))
             own = pa.array(mix(Hasher(texts.data).ranges(texts.offsets[:-1], texts.offsets[1:])).view(np.int64))
-            main = [np.bincount(doc[here], minlength=size), np.bincount(doc[here], weights=known[at[here]], minlength=size).astype(float), np.bincount(doc, weights=value, minlength=size).astype(float)]
+            main = [np.bincount(doc[here], minlength=size), np.bincount(doc[here], weights=np.log10(tree.count[at[here]] + 0.5), minlength=size).astype(float), np.bincount(doc, weights=value, minlength=size).astype(float)]
             far = ~here
             order = np.lexsort((h[far], doc[far]))
             d, w = doc[far][order], h[far][order]

@@ -1,4 +1,5 @@
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -85,3 +86,13 @@ def test_what_is_kept_does_not_depend_on_the_size_of_the_corpus(spark):
     assert set(small.words) <= set(large.words) and large.rare >= small.rare == 6
     for a, b in zip(small.levels, large.levels, strict=True):
         assert 0 < (a.total > 0).sum() <= (b.total > 0).sum() and (b.keys >= 0).sum() >= (a.keys >= 0).sum() > 0
+
+
+def test_the_tree_is_a_table_that_no_process_holds(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tree, _ = suffix_tree.train(docs)
+    assert tree.rare > 1000 and len(pickle.dumps(tree)) < 10_000 and isinstance(tree.words.base, np.memmap)
+    whole = {r["doc_id"]: r["score"] for r in suffix_tree.learn_and_score(docs, F.lit(False)).collect()}
+    monkeypatch.setattr(suffix_tree, "BUCKET", 500)  # many buckets
+    for r in suffix_tree.learn_and_score(docs, F.lit(False)).collect():
+        assert abs(r["score"] - whole[r["doc_id"]]) <= 1e-9 * abs(r["score"])
