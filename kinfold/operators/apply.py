@@ -52,7 +52,8 @@ def upsert_links(links: DataFrame, new: DataFrame) -> DataFrame:
 def enrich(entities: DataFrame, found: DataFrame) -> DataFrame:
     """entities with found (id, translations, embedding, encoder) put in; existing translations give way to new ones.
 
-    Only alphabetic codes count; an embedding without an encoder is an error.
+    Only alphabetic codes count; an embedding without an encoder is an error. found is as long as entities, and Spark takes maps and
+    vectors for far smaller than they are: both sides are sorted, as a broadcast of them would not fit the driver.
     """
     bad = F.col("new_vector").isNotNull() & F.coalesce(F.col("new_encoder") == "", F.lit(True))
     new = found.select("id", F.map_filter("translations", lambda k, v: k.rlike("^[A-Za-z]+$") & v.isNotNull()).alias("new"), F.col("embedding").alias("new_vector"), F.col("encoder").alias("new_encoder"))
@@ -60,7 +61,7 @@ def enrich(entities: DataFrame, found: DataFrame) -> DataFrame:
     none = F.create_map().cast("map<string,string>")
     old = F.coalesce("translations", none) if "translations" in entities.columns else none
     keep = F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(F.coalesce("new", none)), k))
-    out = entities.join(new, "id", "left").withColumn("translations", F.map_concat(keep, F.coalesce("new", none)))
+    out = entities.join(new.hint("merge"), "id", "left").withColumn("translations", F.map_concat(keep, F.coalesce("new", none)))
     if "vector" in entities.columns:
         out = out.withColumns({"vector": F.coalesce("new_vector", "vector"), "encoder": F.coalesce("new_encoder", "encoder")})
     return out.drop("new", "new_vector", "new_encoder")

@@ -542,4 +542,4 @@ def enrich_apply(spark, d):
     rows = D.authorities(spark, d)
     made = apply.offline_translations(rows)
     done = apply.enrich(rows, made.select("id", "translations", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("encoder")))
-    return done.join(made.select("id", "status"), "id").select("id", "status", F.size("translations").alias("n"), N.localized(F.col("name"), F.col("translations"), F.lit("pt-BR")).alias("name_pt"))
+    return done.join(made.select("id", "status").hint("merge"), "id").select("id", "status", F.size("translations").alias("n"), N.localized(F.col("name"), F.col("translations"), F.lit("pt-BR")).alias("name_pt"))

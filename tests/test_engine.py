@@ -146,3 +146,9 @@ def test_metrics(spark):
     r = evaluate.confusion(spark.createDataFrame(rows, "same boolean, linked boolean")).first()
     assert (r["precision"], r["recall"]) == (0.98, 0.9074)
     assert evaluate.confusion(spark.createDataFrame([], "same boolean, linked boolean")).first()["precision"] == 1.0
+
+
+def test_enrichment_broadcasts_no_translations(spark, sf_dir):
+    from kinfold.plans.queries import QUERIES
+
+    assert "Broadcast" not in QUERIES["enrich_apply"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
