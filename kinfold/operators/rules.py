@@ -113,6 +113,20 @@ def _seen(t: Tables) -> list[str]:
     return [c for c in SEEN if c in t.entities.columns] if t.known else []
 
 
+#: Rows of one key that a task meets with all others of the key.
+DEALT = 500
+
+
+def _dealt(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a.join(b, keys), in which the rows of a of a key of more than DEALT are dealt out and meet a copy of the key's b each:
+    the pairs of a hot key are many however few bytes its rows have, and would be one task's."""
+    hot = a.groupBy(*keys).agg(F.count("*").alias("rows")).filter(F.col("rows") > DEALT).withColumn("deals", F.ceil(F.col("rows") / DEALT).cast("int")).drop("rows")
+    deals = F.coalesce("deals", F.lit(1))
+    left = a.join(hot, keys, "left").withColumn("deal", F.pmod(F.xxhash64("a_id"), deals).cast("int")).drop("deals")
+    right = b.join(hot, keys, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
+    return left.join(right, [*keys, "deal"]).drop("deal")
+
+
 def _pairs(name: str, t: Tables, df: DataFrame, keys: list[str], action: str, confidence: float, conflicts: bool, extra: Column | None = None, left=(), right=(), left_if: Column | None = None, right_if: Column | None = None) -> DataFrame:
     """Self-join on keys; with conflicts, pairs that disagree on a hard identifier become conflict flags."""
     ids = [*(IDS if conflicts else ["id"]), *_seen(t)]
@@ -124,7 +138,7 @@ def _pairs(name: str, t: Tables, df: DataFrame, keys: list[str], action: str, co
         b = b.join(t.targets, F.col("b_id") == F.col("target_id"), "left_semi")
     if t.gone is not None:
         a = a.join(t.gone, F.col("a_id") == F.col("source_id"), "left_anti")
-    met = a.join(b, keys).filter(F.col("a_id") != F.col("b_id"))
+    met = _dealt(a, b, keys).filter(F.col("a_id") != F.col("b_id"))
     for k in keys:  # a key is a column of both sides
         met = met.withColumn(f"a_{k}", F.col(k)).withColumn(f"b_{k}", F.col(k))
     if extra is not None:

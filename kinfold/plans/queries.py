@@ -244,8 +244,13 @@ decisions AS (SELECT * FROM cut WHERE done IS NULL OR priority <= done)"""
 MATCH_RULES = [r for r in rules.RULES if r.priority in PARTS]
 
 
+def _once(spark, d) -> rules.Tables:
+    """The companies, prepared once for all rules."""
+    return rules.Tables(graph.settled(_companies(spark, d)))
+
+
 def _found(spark, d) -> DataFrame:
-    return engine.candidates(rules.Tables(_companies(spark, d)), "Company", S, rules=MATCH_RULES)
+    return engine.candidates(_once(spark, d), "Company", S, rules=MATCH_RULES)
 
 
 def _decided(spark, d, enabled: bool = True) -> DataFrame:

@@ -152,3 +152,17 @@ def test_enrichment_broadcasts_no_translations(spark, sf_dir):
     from kinfold.plans.queries import QUERIES
 
     assert "Broadcast" not in QUERIES["enrich_apply"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_hot_key_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(rules, "DEALT", 4)
+    ents = spark.createDataFrame([(f"e{i}", "x" if i < 40 else f"y{i // 2}", None, f"DE{i % 3:09d}") for i in range(60)], "id string, lei string, cik string, vat string").withColumn("name", F.lit("n"))
+    found = rules.exact_id("lei")(rules.Tables(rules.prepare(ents)), Settings())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    lei = {r["id"]: r["lei"] for r in ents.collect()}
+    assert sorted((r["source_id"], r["target_id"]) for r in got) == sorted((a, b) for a in lei for b in lei if a != b and lei[a] == lei[b])
+    assert len({r["task"] for r in got if lei[r["source_id"]] == "x"}) > 1
