@@ -119,6 +119,8 @@ def rule_fires(decisions: DataFrame) -> DataFrame:
 TOGETHER = 200_000
 #: Targets left open are broadcast up to this size, counted beforehand, with the overhead of each row; larger sets are shuffled.
 SENT_BYTES, _ROW_BYTES = 32 << 20, 64
+#: Pairs of the targets left open that are made at once; for more, the least sources are asked again instead.
+MADE = 5_000_000
 
 
 def _in_order(table: pa.Table) -> pa.Table:
@@ -145,7 +147,7 @@ def greedy_merges(decisions: DataFrame, together: int = TOGETHER) -> DataFrame:
     def pairs(targets: DataFrame, gone: DataFrame) -> DataFrame:
         return merges.join(targets, "target_id", "left_semi").join(gone, "source_id", "left_anti")
 
-    return _greedy(lambda targets, gone: merges.select("target_id", F.col("source_id").alias("by")), pairs, together, again=False)
+    return _greedy(lambda targets, gone: merges.select("target_id", F.col("source_id").alias("by"), F.lit(1).alias("n")), pairs, together, again=False)
 
 
 def greedy_pass(tables: Tables, label: str, settings: Settings, mode: str = "all", exclude_prefix: str | None = None, rules: list[Rule] | None = None, together: int = TOGETHER) -> DataFrame:
@@ -167,7 +169,7 @@ def greedy_pass(tables: Tables, label: str, settings: Settings, mode: str = "all
 
     def first(targets: DataFrame | None, gone: DataFrame | None) -> DataFrame:
         some, kept = narrow(targets, gone)
-        return reduce(DataFrame.unionByName, [r.least(some, settings) for r in short], kept.select("target_id", F.col("source_id").alias("by")))
+        return reduce(DataFrame.unionByName, [r.least(some, settings) for r in short], kept.select("target_id", F.col("source_id").alias("by"), F.lit(1).alias("n")))
 
     def pairs(targets: DataFrame, gone: DataFrame) -> DataFrame:
         some, kept = narrow(targets, gone)
@@ -181,27 +183,29 @@ def _merging(decisions: DataFrame) -> DataFrame:
 
 
 def _greedy(first: Callable, pairs: Callable, together: int, again: bool) -> DataFrame:
-    """first(targets, gone): (target_id, by), a source of each target at least, the least one among them, of the targets named without
-    the sources gone (None: of all); pairs(targets, gone): the merges of such. again: first is asked as long as it halves what is open."""
+    """first(targets, gone): (target_id, by, n), a source of each target at least, the least one among them, and how many pairs stand
+    behind it, of the targets named without the sources gone (None: of all); pairs(targets, gone): the merges of such. again: first
+    is asked as long as it halves what is open or the pairs are more than MADE; each time the least open source has its targets."""
     from .graph import connected_components, settled
 
     # An entity that no earlier one can merge acts. What it is the first to take is gone, and acts no more if it comes later:
     # in a large group that alone leaves little, and the group's pairs are never written.
     near = gone = done = before = None
     while True:
-        least = settled(first(near, gone).groupBy(F.col("target_id").alias("t")).agg(F.min("by").alias("by")))
+        least = settled(first(near, gone).groupBy(F.col("target_id").alias("t")).agg(F.min("by").alias("by"), F.sum("n").alias("n")))
         late = least.filter("by < t").select(F.col("t").alias("by"))
         taken = settled(least.join(late, "by", "left_anti"))
         now = taken.select(F.col("by").alias("canonical"), F.col("t").alias("merged"))
         done = now if done is None else done.unionByName(now)
-        left = settled(least.join(late, "by", "left_semi").select(F.col("t").alias("target_id")))
-        n, size = left.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("target_id")), F.lit(0))).first()
+        left = settled(least.join(late, "by", "left_semi").select(F.col("t").alias("target_id"), "n"))
+        n, size, made = left.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("target_id")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        left = left.drop("n")
         if not n:
             return done
         dead = taken.filter("by < t").select(F.col("t").alias("source_id"))
         gone = dead if gone is None else gone.unionByName(dead)
         near = F.broadcast(left) if size + _ROW_BYTES * n <= SENT_BYTES else left
-        if not again or (before is not None and 2 * n > before):
+        if not again or (made <= MADE and before is not None and 2 * n > before):
             break
         before = n
     open_ = settled(pairs(near, gone).distinct())

@@ -49,7 +49,8 @@ class Rule:
     find: Callable[[Tables, Settings], DataFrame | None] | None
     #: For a forced merge: whether it merges the pair (a_*, b_*), from columns alone.
     holds: Callable[[], Column] | None = None
-    #: For a forced merge: (target_id, by), the least source it merges into each target, by classes of rows instead of pairs.
+    #: For a forced merge: (target_id, by, n), the least source it merges into each target, by classes of rows instead of pairs;
+    #: n: the sources of the class, as many pairs as the rule makes of it.
     least: Callable[[Tables, Settings], DataFrame] | None = None
 
 
@@ -154,15 +155,16 @@ def exact_id(column: str):
 
 
 def _least(t: Tables, sources: DataFrame, targets: DataFrame, at: list[str]) -> DataFrame:
-    """(target_id, by): the least source of each target's class but itself. Two sources of a class are all that is looked at."""
+    """(target_id, by, n): the least source of each target's class but itself, and the sources of the class. Two of them and their number are all that is looked at."""
     if t.targets is not None:
         targets = targets.join(t.targets, F.col("id") == F.col("target_id"), "left_semi")
     if t.gone is not None:
         sources = sources.join(t.gone, F.col("id") == F.col("source_id"), "left_anti")
-    ranked = sources.filter("id is not null").withColumn("n", F.dense_rank().over(Window.partitionBy(*at).orderBy("id"))).filter("n <= 2")
-    two = ranked.groupBy(*at).agg(F.min("id").alias("one"), F.max("id").alias("other"))
+    sources = sources.filter("id is not null")
+    ranked = sources.withColumn("place", F.dense_rank().over(Window.partitionBy(*at).orderBy("id"))).withColumn("n", F.count("*").over(Window.partitionBy(*at))).filter("place <= 2")
+    two = ranked.groupBy(*at).agg(F.min("id").alias("one"), F.max("id").alias("other"), F.first("n").alias("n"))
     by = F.when(F.col("one") != F.col("id"), F.col("one")).when(F.col("other") != F.col("id"), F.col("other"))
-    return targets.join(two, at).select(F.col("id").alias("target_id"), by.alias("by")).filter("by is not null")
+    return targets.join(two, at).select(F.col("id").alias("target_id"), by.alias("by"), "n").filter("by is not null")
 
 
 def least_same_id(column: str) -> Callable[[Tables, Settings], DataFrame]:

@@ -309,7 +309,7 @@ def sweep_outcome(spark, d):
 
 @query("greedy_merges")
 def greedy_merges(spark, d):
-    return engine.greedy_pass(rules.Tables(_companies(spark, d)), "Company", Settings(auto_merge_enabled=True), rules=MATCH_RULES)
+    return engine.greedy_pass(_once(spark, d), "Company", Settings(auto_merge_enabled=True), rules=MATCH_RULES)
 
 
 @query("merge_apply", f"""WITH {WCC}, {COLLAPSE}, m AS (SELECT c.id AS merged, c.canonical, x.lei FROM collapsed c JOIN company x ON x.id = c.id WHERE n > 1 AND c.id <> c.canonical),

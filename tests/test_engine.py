@@ -166,3 +166,16 @@ def test_pairs_of_a_hot_key_are_dealt_to_several_tasks(spark, monkeypatch):
     lei = {r["id"]: r["lei"] for r in ents.collect()}
     assert sorted((r["source_id"], r["target_id"]) for r in got) == sorted((a, b) for a in lei for b in lei if a != b and lei[a] == lei[b])
     assert len({r["task"] for r in got if lei[r["source_id"]] == "x"}) > 1
+
+
+def test_greedy_pass_asks_again_instead_of_making_many_pairs(spark, sf_dir, monkeypatch):
+    from kinfold.plans import queries
+
+    made = []
+    whole = engine.candidates
+    t, settings = queries._once(spark, sf_dir), Settings(auto_merge_enabled=True)
+    want = sorted(map(tuple, engine.greedy_merges(engine.decide(whole(t, "Company", settings, rules=queries.MATCH_RULES), settings)).collect()))
+    monkeypatch.setattr(engine, "candidates", lambda *a, **k: made.append([r.name for r in k["rules"]]) or whole(*a, **k))
+    monkeypatch.setattr(engine, "MADE", 0)
+    assert sorted(map(tuple, engine.greedy_pass(t, "Company", settings, rules=queries.MATCH_RULES).collect())) == want
+    assert made == [[r.name for r in queries.MATCH_RULES if not r.least]]
