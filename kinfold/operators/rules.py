@@ -120,12 +120,15 @@ DEALT = 500
 
 def _dealt(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """a.join(b, keys), in which the rows of a of a key of more than DEALT are dealt out and meet a copy of the key's b each:
-    the pairs of a hot key are many however few bytes its rows have, and would be one task's."""
+    the pairs of a hot key are many however few bytes its rows have, and would be one task's. The number of partitions is
+    fixed, as Spark would join them up by bytes, in a union by the rule's share of them."""
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = a.groupBy(*keys).agg(F.count("*").alias("rows")).filter(F.col("rows") > DEALT).withColumn("deals", F.ceil(F.col("rows") / DEALT).cast("int")).drop("rows")
     deals = F.coalesce("deals", F.lit(1))
     left = a.join(hot, keys, "left").withColumn("deal", F.pmod(F.xxhash64("a_id"), deals).cast("int")).drop("deals")
     right = b.join(hot, keys, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
-    return left.join(right, [*keys, "deal"]).drop("deal")
+    at = [*keys, "deal"]
+    return left.repartition(n, *at).join(right.repartition(n, *at), at).drop("deal")
 
 
 def _pairs(name: str, t: Tables, df: DataFrame, keys: list[str], action: str, confidence: float, conflicts: bool, extra: Column | None = None, left=(), right=(), left_if: Column | None = None, right_if: Column | None = None) -> DataFrame:
