@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from . import apply
 from .rules import Rule, Tables, select
 
 OUTCOMES = ("auto_merge", "auto_link", "conflict", "flag", "enrich", "noop")
@@ -24,15 +25,15 @@ def candidates(tables: Tables, label: str, settings: Settings, mode: str = "all"
     """The union of the rules' candidates with the rule's name, priority, threshold and force; repeats of a pair in a rule count once."""
     parts = []
     active = rules if rules is not None else select(label, mode, exclude_prefix)
-    tables = replace(tables, known=tuple(r for r in active if r.holds))
+    tables = replace(tables, known=tables.known or tuple(r for r in active if r.holds))
+    told = ["before", "flagged"] if tables.flagging else ["before"]
     for r in active:
         found = r.find(tables, settings) if r.find else None
         if found is not None:
-            if "before" not in found.columns:
-                found = found.withColumn("before", F.lit(None).cast("int"))
-            parts.append(found.select("source_id", "target_id", "confidence", "action", "conflict", "conflict_property", F.lit(r.name).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.threshold).cast("double").alias("threshold"), F.lit(r.forced).alias("forced"), "before"))
+            found = found.withColumns({c: F.lit(None).cast("int") for c in told if c not in found.columns})
+            parts.append(found.select("source_id", "target_id", "confidence", "action", "conflict", "conflict_property", F.lit(r.name).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.threshold).cast("double").alias("threshold"), F.lit(r.forced).alias("forced"), *told))
     if not parts:
-        return tables.entities.limit(0).select(*[F.lit(None).cast(k).alias(c) for c, k in (("source_id", "string"), ("target_id", "string"), ("confidence", "double"), ("action", "string"), ("conflict", "boolean"), ("conflict_property", "string"), ("rule", "string"), ("priority", "int"), ("threshold", "double"), ("forced", "boolean"), ("before", "int"))])
+        return tables.entities.limit(0).select(*[F.lit(None).cast(k).alias(c) for c, k in (("source_id", "string"), ("target_id", "string"), ("confidence", "double"), ("action", "string"), ("conflict", "boolean"), ("conflict_property", "string"), ("rule", "string"), ("priority", "int"), ("threshold", "double"), ("forced", "boolean"), *((c, "int") for c in told))])
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -80,6 +81,38 @@ def consolidate(tables: Tables, label: str, settings: Settings, mode: str = "all
     return decide(found, settings, select(label, mode, exclude_prefix))
 
 
+def fold_pass(tables: Tables, label: str, settings: Settings, as_of: Column, places: int, mode: str = "all", exclude_prefix: str | None = None, rules: list[Rule] | None = None) -> DataFrame:
+    """apply.fold_detections of what a pass flags, as of one time, rules in order of priority, confidences rounded to ``places``.
+
+    The pairs in conflict are as many as the square of a placeholder's rows. Where each rule of the pass tells from a pair's
+    columns whether it flags or merges such a pair, or leaves these alone, the first rule that flags it makes its whole row, and only the
+    other pairs are shuffled. That needs one row for each id; with repeated ids all detections are shuffled.
+    """
+    active = rules if rules is not None else select(label, mode, exclude_prefix)
+    flagging = tuple(sorted((r for r in active if r.flags), key=lambda r: r.priority))
+
+    def folded(found: DataFrame) -> DataFrame:
+        rows = decide(found, settings, active).filter("outcome in ('flag', 'conflict')")
+        return apply.fold_detections(rows.select("source_id", "target_id", "rule", F.round("confidence", places).alias("confidence"), as_of.alias("detected_at"), F.lit(False).alias("reviewed"), "conflict", F.col("priority").alias("seq")))
+
+    ids = tables.entities.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows"))
+    if not flagging or not all(r.flags or r.holds or r.spares for r in active) or not ids.filter("rows > 1").isEmpty():
+        return folded(candidates(tables, label, settings, rules=active))
+    tables = replace(tables, known=tuple(r for r in active if r.holds), flagging=flagging)
+    here = candidates(tables, label, settings, rules=list(flagging)).filter("flagged > 0")
+    # A rule that merges what isn't in conflict flags nothing else.
+    rest = folded(candidates(tables, label, settings, rules=[r for r in active if not (r.flags and r.holds)]).filter("flagged is null").drop("flagged"))
+    sets = [[r for i, r in enumerate(flagging) if bits >> i & 1] for bits in range(1 << len(flagging))]
+    of = lambda kind, value: F.get(F.array(*[F.lit(None).cast(kind) if not some else value(some) for some in sets]), F.col("flagged"))
+    best = lambda some: max(some, key=lambda r: round(r.confidence, places))  # noqa: E731  the first of the greatest
+    whole = here.select(
+        "source_id", "target_id", F.lit(False).alias("reviewed"), F.lit(True).alias("conflict"),
+        of("array<string>", lambda some: F.array(*[F.lit(r.name) for r in some])).alias("rules"), of("array<double>", lambda some: F.array(*[F.lit(round(r.confidence, places)) for r in some])).alias("confidences"),
+        F.array_repeat(as_of, of("int", lambda some: F.lit(len(some)))).alias("dates"), of("double", lambda some: F.lit(round(best(some).confidence, places))).alias("confidence"), of("string", lambda some: F.lit(best(some).name)).alias("method"), as_of.alias("detected_at"),
+    )
+    return whole.unionByName(rest)
+
+
 def run_outcome(has: dict[str, Column]) -> Column:
     return F.when(has["auto_merge"], "merged").when(has["auto_link"], "linked").when(has["conflict"], "conflict_flagged").when(has["flag"], "flagged").when(has["enrich"], "enriched").when(has["noop"], "noop").otherwise("no_match")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ class Tables:
     neighbours: DataFrame | None = None
     #: Rules of the pass that tell from a pair's own columns whether they merge it, by priority.
     known: tuple[Rule, ...] = ()
+    #: If pairs in conflict are folded in place: the rules of the pass with `flags`, by priority.
+    flagging: tuple[Rule, ...] = ()
     #: Only pairs with a target in targets (target_id) and a source not in gone (source_id) are wanted; None: all.
     targets: DataFrame | None = None
     gone: DataFrame | None = None
@@ -52,6 +55,10 @@ class Rule:
     #: For a forced merge: (target_id, by, n), the least source it merges into each target, by classes of rows instead of pairs;
     #: n: the sources of the class, as many pairs as the rule makes of it.
     least: Callable[[Tables, Settings], DataFrame] | None = None
+    #: Whether it flags the pair (a_*, b_*), if that is in conflict on a hard identifier, from columns alone; it merges no such pair.
+    flags: Callable[[], Column] | None = None
+    #: It neither flags nor merges a pair in conflict on a hard identifier.
+    spares: bool = False
 
 
 def prepare(entities: DataFrame) -> DataFrame:
@@ -110,8 +117,22 @@ def merged_before(t: Tables, name: str) -> list[Column]:
     return [F.coalesce(*first, F.lit(None).cast("int")).alias("before")] if t.known else []
 
 
+def flagged(t: Tables, name: str, conflict: Column) -> list[Column]:
+    """`flagged`, of a pair in conflict: a bit for each rule of t.flagging that flags the pair (a_*, b_*) after no merge, or 0 if one
+    before the rule does; null for other pairs. No column where nothing is folded in place."""
+    if not t.flagging:
+        return []
+    bits = []
+    for i, r in enumerate(t.flagging):
+        merged = [m.holds() for m in t.known if m.priority < r.priority and not m.flags]
+        bits.append(F.when(reduce(lambda x, m: x & ~m, merged, r.flags()), 1 << i).otherwise(0))
+    own = next(i for i, r in enumerate(t.flagging) if r.name == name)
+    first = reduce(lambda x, b: x & (b == 0), bits[:own], F.lit(True))
+    return [F.when(conflict, F.when(first, reduce(lambda x, b: x + b, bits)).otherwise(0)).alias("flagged")]
+
+
 def _seen(t: Tables) -> list[str]:
-    return [c for c in SEEN if c in t.entities.columns] if t.known else []
+    return [c for c in SEEN if c in t.entities.columns] if t.known or t.flagging else []
 
 
 #: Rows of one key that a task meets with all others of the key.
@@ -149,7 +170,7 @@ def _pairs(name: str, t: Tables, df: DataFrame, keys: list[str], action: str, co
         met = met.filter(extra)
     met = met.withColumn("prop", hard_id_conflict() if conflicts else F.lit(None).cast("string"))
     prop = F.col("prop")
-    return met.select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"), F.lit(confidence).alias("confidence"), F.when(prop.isNotNull(), "flag").otherwise(action).alias("action"), prop.isNotNull().alias("conflict"), prop.alias("conflict_property"), *merged_before(t, name))
+    return met.select(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"), F.lit(confidence).alias("confidence"), F.when(prop.isNotNull(), "flag").otherwise(action).alias("action"), prop.isNotNull().alias("conflict"), prop.alias("conflict_property"), *merged_before(t, name), *(flagged(t, name, prop.isNotNull()) if name in {r.name for r in t.flagging} else []))
 
 
 def exact_id(column: str):
@@ -281,17 +302,17 @@ def collapse(t: Tables, s: Settings) -> DataFrame | None:
 
 
 RULES = [
-    Rule(1, "exact_lei_match", "Company", 1.0, "merge", None, True, exact_id("lei"), same_id("lei"), least_same_id("lei")),
-    Rule(2, "exact_cik_match", "Company", 1.0, "merge", None, True, exact_id("cik"), same_id("cik"), least_same_id("cik")),
-    Rule(3, "exact_vat_match", "Company", 1.0, "merge", None, True, exact_id("vat"), same_id("vat"), least_same_id("vat")),
+    Rule(1, "exact_lei_match", "Company", 1.0, "merge", None, True, exact_id("lei"), same_id("lei"), least_same_id("lei"), flags=partial(_equal, "lei")),
+    Rule(2, "exact_cik_match", "Company", 1.0, "merge", None, True, exact_id("cik"), same_id("cik"), least_same_id("cik"), flags=partial(_equal, "cik")),
+    Rule(3, "exact_vat_match", "Company", 1.0, "merge", None, True, exact_id("vat"), same_id("vat"), least_same_id("vat"), flags=partial(_equal, "vat")),
     Rule(4, "gds_same_as_cluster_collapse_company", "Company", 1.0, "merge", None, True, collapse),
     Rule(5, "translation_enrichment_authority", "Authority", 1.0, "enrich", None, False, None),
     Rule(6, "exact_authority_id_match", "Authority", 1.0, "merge", None, True, authority_id),
     Rule(7, "gds_same_as_cluster_collapse_authority", "Authority", 1.0, "merge", None, True, collapse),
     Rule(8, "translation_enrichment_contract", "Contract", 1.0, "enrich", None, False, None),
     Rule(9, "successor_lei_match", "Company", 0.98, "merge", None, True, successor, succeeds, least_successor),
-    Rule(10, "exact_name_country_match", "Company", 0.95, "flag", None, False, name_country_company),
-    Rule(11, "fuzzy_name_same_country", "Company", 0.95, "flag", 0.97, False, fuzzy_company),
+    Rule(10, "exact_name_country_match", "Company", 0.95, "flag", None, False, name_country_company, flags=partial(_equal, "name_clean", "country")),
+    Rule(11, "fuzzy_name_same_country", "Company", 0.95, "flag", 0.97, False, fuzzy_company, spares=True),
     Rule(12, "exact_name_country_match_authority", "Authority", 0.95, "merge", None, False, name_country_authority),
     Rule(13, "fuzzy_name_same_country_authority", "Authority", 0.95, "flag", None, False, fuzzy_authority),
     Rule(14, "exact_name_any_country_authority", "Authority", 0.90, "flag", 0.90, False, name_any_country),

@@ -263,16 +263,12 @@ for _on in (False, True):
     ORACLES[f"decisions_gate_{'on' if _on else 'off'}"] = f"WITH {_sql_decisions(_on)} SELECT {SHOWN} FROM decisions"
 
 
-def _detections(decisions: DataFrame) -> DataFrame:
-    return decisions.filter("outcome in ('flag', 'conflict')").select("source_id", "target_id", "rule", F.round("confidence", 6).alias("confidence"), F.lit("2024-01-01").alias("detected_at"), F.lit(False).alias("reviewed"), "conflict", F.col("priority").alias("seq"))
-
-
 FOLD = """fold AS (SELECT source_id, target_id, bool_or(conflict) AS conflict, list(rule ORDER BY priority) AS rules, list(round(confidence, 6) ORDER BY priority) AS confidences FROM decisions WHERE outcome IN ('flag', 'conflict') GROUP BY 1, 2)"""
 
 
 @query("same_as_fold", f"WITH {_sql_decisions(False)}, {FOLD} SELECT source_id, target_id, conflict, array_to_string(rules, ',') AS rules, list_max(confidences) AS confidence, rules[list_position(confidences, list_max(confidences))] AS method FROM fold")
 def same_as_fold(spark, d):
-    folded = apply.fold_detections(_detections(_decided(spark, d, False)))
+    folded = engine.fold_pass(_once(spark, d), "Company", S, F.lit("2024-01-01"), 6, rules=MATCH_RULES)
     return folded.select("source_id", "target_id", "conflict", F.array_join("rules", ",").alias("rules"), "confidence", "method")
 
 

@@ -179,3 +179,32 @@ def test_greedy_pass_asks_again_instead_of_making_many_pairs(spark, sf_dir, monk
     monkeypatch.setattr(engine, "MADE", 0)
     assert sorted(map(tuple, engine.greedy_pass(t, "Company", settings, rules=queries.MATCH_RULES).collect())) == want
     assert made == [[r.name for r in queries.MATCH_RULES if not r.least]]
+
+
+def test_fold_pass_is_the_fold_of_its_decisions(spark):
+    some = random.Random(11)
+    pick = lambda *values: some.choice(values)
+    rows = [(f"{i:02}", pick("Acme", "Acme GmbH", "Bolt", "", None), pick("DEU", "FRA", None), pick(L1, L2, L1.lower(), "x", "", None), pick("0000000001", "1", "2", None), pick("DE123456789", "DE987654321", "FR1", None), pick(True, False, None), None) for i in range(90)]
+    active, settings = [r for r in rules.select("Company") if r.priority in (1, 2, 3, 9, 10, 11)], Settings()
+    shown = ["source_id", "target_id", "reviewed", "conflict", "rules", "confidences", "dates", "confidence", "method", "detected_at"]
+    both = set()
+    for entities, chosen in ((rows, active), ([*rows, *[(x[0], *y[1:]) for x, y in zip(rows[:9], rows[9:])]], active[:5]), (rows, [])):
+        t = rules.Tables(company(spark, entities))
+        decided = engine.decide(engine.candidates(t, "Company", settings, rules=chosen), settings, chosen).filter("outcome in ('flag', 'conflict')")
+        want = apply.fold_detections(decided.select("source_id", "target_id", "rule", F.round("confidence", 6).alias("confidence"), F.lit("d").alias("detected_at"), F.lit(False).alias("reviewed"), "conflict", F.col("priority").alias("seq")))
+        got = engine.fold_pass(t, "Company", settings, F.lit("d"), 6, rules=chosen)
+        assert got.dtypes == want.select(*shown).dtypes
+        got = sorted(map(tuple, got.collect()), key=str)
+        assert got == sorted(map(tuple, want.select(*shown).collect()), key=str)
+        both |= {(r[3], tuple(r[4])) for r in got}
+    assert {x for x in both if len(x[1]) > 1} >= {(True, ("exact_lei_match", "exact_cik_match")), (True, ("exact_lei_match", "exact_name_country_match")), (False, ("exact_name_country_match", "fuzzy_name_same_country"))}
+
+
+def test_pairs_in_conflict_are_folded_without_a_shuffle(spark, sf_dir, monkeypatch):
+    from kinfold.plans.queries import QUERIES
+
+    whole, shuffled = apply.fold_detections, []
+    monkeypatch.setattr(apply, "fold_detections", lambda rows: shuffled.append(rows) or whole(rows))
+    got = QUERIES["same_as_fold"](spark, sf_dir)
+    assert not got.filter("conflict").isEmpty() and not got.filter("not conflict").isEmpty()
+    assert len(shuffled) == 1 and shuffled[0].filter("conflict").isEmpty()
